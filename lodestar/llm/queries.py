@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, packing, quality, toxicity, urlfilter
+from . import decontaminate, jaccard, langid, licenses, packing, quality, repair, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_forest": quality.op1_quality_forest,
         "op2_best_two_fit": packing.op2_best_two_fit,
         "op4_license_scan": licenses.op4_license_scan,
+        "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_toxic_terms": toxicity.op7_toxic_terms,
+        "op8_repair_tokens": repair.op8_repair_tokens,
         "op9_url_filter": urlfilter.op9_url_filter,
         "op10_language_spans": langid.op10_language_spans,
     }
