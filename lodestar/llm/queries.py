@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, licenses, packing, quality, repair, toxicity, urlfilter
+from . import decontaminate, jaccard, langid, licenses, lines, packing, quality, repair, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_forest": quality.op1_quality_forest,
         "op2_best_two_fit": packing.op2_best_two_fit,
+        "op3_line_dedup": lines.op3_line_dedup,
         "op4_license_scan": licenses.op4_license_scan,
         "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
         "op6_decontamination": decontaminate.op6_decontamination,
