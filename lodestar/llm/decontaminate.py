@@ -17,6 +17,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,19 +177,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     return reduce(DataFrame.unionByName, [over(x) for x in _parts(benchmark, part_bytes)])
 
 
+def _clean(shared: Broadcast, rate: float, least: int):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(shared.value, rate, least)
+        for text in batches:
+            yield pd.Series([not matcher.match(raw) for raw in normal(pa.array(text, type=pa.string(), from_pandas=True))], dtype=bool)
+
+    return clean
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """The documents in which no item occurs, with all their columns; null and empty texts stay."""
     spark = docs.sparkSession
     for items in _parts(benchmark, part_bytes):
-        shared = spark.sparkContext.broadcast(items)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            matcher = Matcher(shared.value, rate, least)
-            for text in batches:
-                yield pd.Series([not matcher.match(raw) for raw in normal(pa.array(text, type=pa.string(), from_pandas=True))], dtype=bool)
-
-        docs = docs.where(clean(F.col("text").cast("string")))
+        docs = docs.where(_clean(spark.sparkContext.broadcast(items), rate, least)(F.col("text").cast("string")))
     return docs
 
 
