@@ -23,7 +23,10 @@ from ..plans.filters import Expr, parse, to_column
 QUERY_BYTES = 32 << 20
 #: Ids of a delete set that is broadcast; a larger one is shuffled.
 BROADCAST_IDS = 1_000_000
-BEST = (F.desc("score"), F.asc("id"), F.asc("segment_id"), F.asc("ordinal"))
+
+
+def best() -> list[Column]:
+    return [F.desc("score"), F.asc("id"), F.asc("segment_id"), F.asc("ordinal")]
 
 
 class DimensionMismatch(ValueError):
@@ -64,11 +67,11 @@ def scored(rows: DataFrame, query: Sequence[float], metric: str = "COSINE", thre
 
 def top_k(hits: DataFrame, k: int) -> DataFrame:
     """The k best of all segments."""
-    return hits.orderBy(*BEST).limit(k)
+    return hits.orderBy(*best()).limit(k)
 
 
 def top_k_per_segment(hits: DataFrame, k: int) -> DataFrame:
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy("segment_id").orderBy(*BEST))).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(W.partitionBy("segment_id").orderBy(*best()))).where(F.col("rank") <= k)
 
 
 def two_phase(rows: DataFrame, query: Sequence[float], k: int, rerank_k: int, proxy: Column, metric: str = "COSINE") -> DataFrame:
@@ -131,7 +134,7 @@ def search_many(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str =
         if not block:
             return spark.createDataFrame([], "qid long, rank int, id string, segment_id string, ordinal long, score double")
         out = run(block) if out is None else out.unionByName(run(block))
-    w = W.partitionBy("qid").orderBy(*BEST)
+    w = W.partitionBy("qid").orderBy(*best())
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "segment_id", "ordinal", "score")
 
 

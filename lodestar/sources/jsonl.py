@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 CORPUS = "id string, articleSlug string, ordinalInArticle int, text string, embedding array<float>"
 QUERIES = "id string, text string, expectedArticleSlug string, embedding array<float>"
@@ -20,9 +19,9 @@ def read(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
 
 def validate(spark: SparkSession, path: str, schema: str = CORPUS) -> None:
     """Raise BrokenLine with file and text of the first line that doesn't parse."""
-    full = StructType.fromDDL(schema + ", _broken string")
-    raw = spark.read.schema(full).option("columnNameOfCorruptRecord", "_broken").json(path).withColumn("_file", F.input_file_name())
-    bad = raw.select("_file", "_broken").cache().where("_broken is not null").head()
+    parsed = F.from_json("value", schema + ", _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.input_file_name().alias("_file"), parsed.alias("p"))
+    bad = lines.where("p is null or p._broken is not null").select("_file", F.col("value").alias("_broken")).head()
     if bad is not None:
         raise BrokenLine(f"{bad['_file']}: {bad['_broken'][:200]}")
 
