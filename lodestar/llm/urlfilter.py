@@ -136,8 +136,8 @@ stripped AS (
   SELECT page_id, url, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://', ''), '[?#][\\s\\S]*$', '') AS rest FROM pages
 ), split AS (
   SELECT page_id, url,
-    array_to_string(list_reverse(list_filter(string_split(lower(regexp_replace(regexp_replace(split_part(rest, '/', 1), '^[^@]*@', ''), ':[0-9]*$', '')), '.'), x -> x <> '')), '.') || '.' AS host,
-    array_to_string(list_filter(string_split(regexp_replace(rest, '^[^/]*', ''), '/'), x -> x <> ''), '/') || '/' AS path
+    array_to_string(list_reverse(list_filter(string_split(lower(regexp_replace(regexp_replace(split_part(rest, '/', 1), '^[^@]*@', ''), ':[0-9]*$', '')), '.'), lambda x: x <> '')), '.') || '.' AS host,
+    array_to_string(list_filter(string_split(regexp_replace(rest, '^[^/]*', ''), '/'), lambda x: x <> ''), '/') || '/' AS path
   FROM stripped
 ), best AS (
   SELECT s.page_id, s.url, e.kind, e.labels, e.segments,
