@@ -120,7 +120,7 @@ def _pairs(rows: np.ndarray, starts: np.ndarray, size: np.ndarray, k: int) -> It
         at = starts[size == g]
         if g <= 256:
             i, j = np.triu_indices(int(g), 1)
-            step = max(1, 1_000_000 // len(i))
+            step = max(1, 300_000 // len(i))
             for s in range(0, len(at), step):
                 yield able(rows[(at[s : s + step, None] + i).ravel()], rows[(at[s : s + step, None] + j).ravel()])
         else:
@@ -166,7 +166,7 @@ def close(a: list[bytes], b: list[bytes], k: int) -> np.ndarray:
             shifted = d0 >> one
             vp = (hn | ~(shifted | hp)) & mask
             vn = shifted & hp
-            if j % 32 == 31 and not ((score <= 2 * k) & live).any():
+            if j % 32 == 31 and not ((score <= 3 * k) & live).any():
                 break
         out[own] = (score <= k) & (np.abs(m - n) <= k)
     return out
@@ -194,7 +194,7 @@ def repeated_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST_BYTES) ->
 
     def offer(batches):
         for b in batches:
-            for block in blocks(b.column(1), 4 << 20):
+            for block in blocks(b.column(1), 2 << 20):
                 starts, ends, _, _, lid = long_lines(block, least)
                 _, at = np.unique(lid, return_index=True)
                 yield pack(index_rows(block, starts[at], ends[at], lid[at], k, least), tasks * FINE)
