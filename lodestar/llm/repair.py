@@ -96,7 +96,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int, shares=SHARES,
             keep = np.ones(len(seq), dtype=bool)
             keep[at + 1] = False
             seq, head = seq[keep], head[keep]
-        if last and len(at) < len(seq) // 50:
+        if last and len(at) <= len(seq) // 50:
             break
     new_bounds = np.append(np.flatnonzero(head), len(seq))
     full = np.asarray(bounds)
