@@ -188,13 +188,33 @@ def score_text(block: Block, hits: list[tuple[int, int, int, str, float]]) -> tu
     return total, inside, sorted({h[3] for h in hits})
 
 
+def _copies(words: list[set[str]], least: int = 8, share: float = 0.3) -> list[int]:
+    """A number for each document, the same for copies: of least telling words or more, they share so many of all."""
+    of: list[int] = []
+    holders: dict[str, list[int]] = {}
+    for k, own in enumerate(words):
+        same = k
+        if len(own) >= least:
+            met: dict[int, int] = {}
+            for w in own:
+                for other in holders.get(w, ()):
+                    met[other] = met.get(other, 0) + 1
+            close = [o for o, n in met.items() if n >= least // 2 and n >= share * (len(own) + len(words[o]) - n)]
+            if close:
+                same = of[min(close)]
+            for w in own:
+                holders.setdefault(w, []).append(k)
+        of.append(same)
+    return of
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clean_share: float = 0.02, lift: float = 10.0, seed: int = 5) -> Lexicon:
     """Learn the lexicon on at most fit_rows labelled documents (lowest hash of doc_id first).
 
     A term occurs in at most clean_share as many clean documents as toxic ones.  A stem is a head that
     several words share which toxic documents have ``lift`` times as often as clean ones; where a stem
     isn't as pure as a term, its hits weigh half.  Both are picked greedily by toxic documents not yet
-    explained, so words that only copies of one document share add nothing.  Then terms as frequent as a
+    explained; copies of one document count once, so the words that only they share add nothing.  Then terms as frequent as a
     fifth of the picked ones' median are added.
     """
     picked = (
@@ -230,7 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clean_shar
     has = seen.where("toxic > 0").join(F.broadcast(able), "word").groupBy("doc_id").agg(F.collect_set("word").alias("words")).toPandas()
     pure = {r["word"] for r in able.where(F.col("good") <= F.col("bad") * clean_share).select("word").collect()}
     docs_of: dict[str, set[int]] = {}
-    for k, words in enumerate(has["words"]):
+    copies = _copies([set(words) for words in has["words"]])
+    for k, words in zip(copies, has["words"]):
         for w in words:
             docs_of.setdefault(w, set()).add(k)
     family: dict[str, set[str]] = {}
@@ -247,8 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clean_shar
         stems = {s: d for s, d in stems.items() if good.get(s, 0) * odds <= len(d)}
         weights = {s: EXACT if good.get(s, 0) <= len(d) * clean_share else NEAR for s, d in stems.items()}
     candidates = {(w, False): d for w, d in docs_of.items() if w in pure} | {(s, True): d for s, d in stems.items()}
-    chosen, left = [], set(range(len(has)))
-    least = max(3, totals[True] // 100)
+    chosen, left = [], set(copies)
+    least = max(5, len(left) // 100)
     while candidates:
         key = max(candidates, key=lambda c: (len(candidates[c] & left), len(candidates[c]), len(c[0]), c))
         if len(candidates[key] & left) < least:
@@ -257,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clean_shar
         left -= candidates.pop(key)
     if not chosen:
         return Lexicon([], {}, [])
-    floor = max(3.0, float(np.median([n for _, n in chosen])) / 5)
+    floor = max(5.0, float(np.median([n for _, n in chosen])) / 5)
     names = {k for k, _ in chosen} | {k for k, d in candidates.items() if len(d) >= floor}
     tops = [s for s, stem in names if stem]
     tops = [s for s in tops if not any(s != o and s.startswith(o) for o in tops)]
