@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a broadcast side; above it the operators join by shuffle instead.
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch, and what Spark gives where no size is set.
+BATCH_BYTES = 8 << 20
+DEFAULT_BYTES = "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, unless the session sets less: executors and their Python workers then
+    hold some megabytes of text at a time, however long the documents are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def trim() -> None:
+    """Hand freed memory of this Python worker back to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; in local mode, where none is named, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

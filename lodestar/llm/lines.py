@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mix, span_hash
-from .common import cut, small, table
+from .common import cut, lean, small, table, trim
 from .runs import bucket_count, components, FINE, groups, pack, send, unique_pairs, unpack
 
 EDITS = 2
@@ -181,6 +181,7 @@ def repeated_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST_BYTES) ->
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    lean(spark)
     tasks = bucket_count(spark, docs)
 
     def find(batches):
@@ -198,6 +199,7 @@ def repeated_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST_BYTES) ->
                 starts, ends, _, _, lid = long_lines(block, least)
                 _, at = np.unique(lid, return_index=True)
                 yield pack(index_rows(block, starts[at], ends[at], lid[at], k, least), tasks * FINE)
+        trim()
 
     def meet(batches):
         rows = unpack(batches, ROW)
@@ -211,6 +213,8 @@ def repeated_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST_BYTES) ->
             a, b = unique_pairs(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]))
             for i in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["a", "b"])
+        del rows, parts
+        trim()
 
     pairs = cut(send(docs.mapInArrow(offer, "bucket int, packed binary"), tasks).mapInArrow(meet, "a long, b long").distinct())
     first = found.groupBy("lid").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count_distinct("doc_id", "line_no").alias("n"))
@@ -240,6 +244,7 @@ def repeated_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST_BYTES) ->
         for b in batches:
             ok = pa.array(close([x.as_py() for x in b.column(2)], [y.as_py() for y in b.column(3)], k))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+        trim()
 
     roots = components(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
     of_line = first.join(roots.withColumnRenamed("id", "lid"), "lid", "left").select("lid", F.coalesce("root", "lid").alias("root"), "first", "n")
