@@ -13,14 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestar.llm.common import checkpoint_dir, table
 from lodestar.llm.decontaminate import stage_decontaminate
 from lodestar.llm.jaccard import stage_near_duplicates
-from lodestar.llm.lines import stage_line_dedup
+from lodestar.llm.lines import stage_line_dedup, without_repeats
 from lodestar.llm.packing import stage_packing
 from lodestar.llm.quality import stage_quality
 
+
+
+def stage_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without near duplicates, and without the repeated lines of those that stay: also of the ones
+    that the line stage left alone as copies and that are none.  Which line stays is decided among what stays."""
+    return without_repeats(stage_near_duplicates(spark, docs, sf_dir))
+
+
 STAGES = [
     ("quality rules", stage_quality),
     ("line dedup", stage_line_dedup),
-    ("n-gram Jaccard join", stage_near_duplicates),
+    ("n-gram Jaccard join", stage_copies),
     ("benchmark decontamination", stage_decontaminate),
     ("best-fit packing", stage_packing),
 ]

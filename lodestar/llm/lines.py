@@ -29,7 +29,7 @@ from .runs import bucket_count, components, FINE, groups, pack, send, unique_pai
 EDITS = 2
 #: Bytes of the shortest line that takes part; shorter ones repeat by chance.
 LEAST_BYTES = 20
-#: Of a document that repeats this share of its bytes from others, the pipeline leaves the lines: it is a copy as a whole, which the next stage judges.
+#: Of a document that repeats this share of its bytes from others, the line stage leaves the lines: it may be a copy as a whole. The next stage judges that, and takes the lines of those that it keeps.
 COPY_SHARE = 0.25
 ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("bag", "<u4"), ("role", "u1")])
 OFFERS, PROBES = 1, 2
@@ -260,8 +260,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "documents"))
 
 
-def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their repeated lines; a document that repeats COPY_SHARE of its bytes stays as it is.
+def without_repeats(docs: DataFrame, share: float | None = None) -> DataFrame:
+    """The documents without their repeated lines; one that repeats ``share`` of its bytes stays as it is, if a share is given.
 
     ``n_chars`` follows the text.  Documents without doc_id or text stay as they are.
     """
@@ -269,8 +269,15 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     side = F.broadcast(drop) if small(drop) else drop
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     kept = F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains("__lodestar_drop", s["i"])), lambda s: s["x"]), "\n")
-    cuts = F.col("__lodestar_drop").isNotNull() & (F.col("__lodestar_bytes") < COPY_SHARE * F.octet_length("text"))
+    cuts = F.col("__lodestar_drop").isNotNull()
+    if share is not None:
+        cuts = cuts & (F.col("__lodestar_bytes") < share * F.octet_length("text"))
     names = [c for c in docs.columns if c not in ("text", "n_chars")]
     out = docs.join(side, "doc_id", "left").withColumn("__lodestar_text", F.when(cuts, kept).otherwise(F.col("text")))
     n_chars = [F.when(cuts, F.length("__lodestar_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")] if "n_chars" in docs.columns else []
     return out.select(*names, F.col("__lodestar_text").alias("text"), *n_chars).select(docs.columns)
+
+
+def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without their repeated lines; one that repeats COPY_SHARE of its bytes stays as it is, until the pipeline has judged it as a copy."""
+    return without_repeats(docs, COPY_SHARE)
