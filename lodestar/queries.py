@@ -454,7 +454,7 @@ def fixture_violations(spark: SparkSession, d: str) -> DataFrame:
 def ann_ivf(spark: SparkSession, d: str) -> DataFrame:
     rows = collection(spark, d)
     cells = ann.InvertedCells.fit(rows)
-    return _out(cells.search(cells.assign(rows), query_vector(spark, d), K, probes=6))
+    return _out(cells.search(cells.assign(rows), query_vector(spark, d), K))
 
 
 @_def()
