@@ -80,6 +80,26 @@ def two_phase(rows: DataFrame, query: Sequence[float], k: int, rerank_k: int, pr
     return top_k(scored(pool.drop("_proxy"), query, metric), k)
 
 
+def two_phase_whole(rows: DataFrame, query: Sequence[float], k: int, rerank_k: int, head: int, metric: str = "COSINE") -> DataFrame:
+    """The k best by cosine, all of them: the first phase bounds each score by the first ``head`` dimensions and the lengths of the rest.
+
+    The rerank_k rows of the highest bounds give the k-th score to reach; every row whose bound reaches it is scored, however many they are.
+    """
+    if metric != "COSINE":
+        raise ValueError(f"no bound for {metric}")
+    q = np.asarray(query, float)
+    square = lambda v: 2 * score(v, v, "DOT_PRODUCT") - 1
+    rest = F.slice("vector", head + 1, max(1, len(q) - head))
+    most = 2 * score(F.slice("vector", 1, head), q[:head].tolist(), "DOT_PRODUCT") - 1 + F.sqrt(F.greatest(square(rest), F.lit(0.0))) * float(np.sqrt(q[head:] @ q[head:]))
+    bound = (1 + F.try_divide(most, F.sqrt(square(F.col("vector"))) * float(np.sqrt(q @ q)))) / 2
+    bounded = rows.withColumn("_bound", bound)
+    pool = bounded.orderBy(F.desc("_bound"), "id", "segment_id", "ordinal").limit(max(rerank_k, k))
+    got = [r[0] for r in top_k(scored(pool, query, metric), k).select("score").collect()]
+    if len(got) == k and k:
+        bounded = bounded.where(F.col("_bound") >= got[-1] - 1e-9)
+    return top_k(scored(bounded.drop("_bound"), query, metric), k)
+
+
 def enrich(hits: DataFrame, rows: DataFrame) -> DataFrame:
     """Attributes of the hits by (segment_id, ordinal); an empty map if there are none.  hits are at most k rows."""
     side = rows.select("segment_id", "ordinal", "attributes")

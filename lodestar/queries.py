@@ -151,6 +151,12 @@ def knn_two_phase(spark: SparkSession, d: str) -> DataFrame:
     return _out(search.two_phase(collection(spark, d), q, K, 50, score(F.slice("vector", 1, 16), q[:16], "DOT_PRODUCT")))
 
 
+@_def()
+def knn_two_phase_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Two phases whose pool is as large as a bound on the scores needs it; knn_two_phase keeps the pool of its SQL."""
+    return _out(search.two_phase_whole(collection(spark, d), query_vector(spark, d), K, 50, 16))
+
+
 @_def(f"{BASE} SELECT {_OUT} FROM (SELECT *, 0.5::DOUBLE AS score FROM v) WHERE false")
 def knn_empty_index(spark: SparkSession, d: str) -> DataFrame:
     return _out(top_k(scored(collection(spark, d).where(F.lit(False)), query_vector(spark, d)), K))

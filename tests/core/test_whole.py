@@ -56,3 +56,9 @@ def test_ann_lsh_registered(spark):
         v = rows.where(F.col("vec_id") == q).head()["vector"]
         hit += len(set(ids(top_k(scored(rows, v), 10))) & set(ids(ann.lsh_search(rows, v, 10))))
     assert hit >= 36
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_two_phases_lose_nothing(spark, sf):
+    d = f"/root/testdata/{sf}"
+    assert ids(queries.Q["knn_two_phase_whole"](spark, d)) == ids(queries.Q["knn_cosine"](spark, d))
