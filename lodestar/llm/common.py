@@ -6,14 +6,19 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a broadcast side; above it the operators join by shuffle instead.
+#: Rows and bytes of a broadcast side; above either the operators join by shuffle instead.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 #: Bytes of an Arrow batch, and what Spark gives where no size is set.
 BATCH_BYTES = 8 << 20
 DEFAULT_BYTES = "67108864b"
@@ -23,12 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lean(spark: SparkSession) -> None:
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of at most BATCH_BYTES, unless the session sets less: executors and their Python workers then
-    hold some megabytes of text at a time, however long the documents are."""
+    hold some megabytes of text at a time, however long the documents are.  The session gets its setting back."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) == DEFAULT_BYTES:
+    before = spark.conf.get(name)
+    if before == DEFAULT_BYTES:
         spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def trim() -> None:
@@ -53,20 +64,74 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_active = threading.local()
+
+
+def _folders(spark: SparkSession) -> list[str]:
+    """The base folder and those of the scratches that are open in this thread, the innermost last."""
+    return [f"{checkpoint_dir(spark).rstrip('/')}/lodestar", *getattr(_active, "folders", ())]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut within are removed at the end, but those of ``keep``."""
+    before = tuple(getattr(_active, "folders", ()))
+    folder = f"{_folders(spark)[0]}/{uuid.uuid4().hex}"
+    _active.folders = (*before, folder)
+    try:
+        yield
+    finally:
+        _active.folders = before
+        remove(spark, folder)
+
+
+def _written(df: DataFrame, folder: str) -> DataFrame:
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from a Parquet table in the shared folder: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/lodestar/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, _folders(df.sparkSession)[-1])
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """As cut, but the table outlives the scratch it is made in: what an operator returns."""
+    folders = _folders(df.sparkSession)
+    return _written(df, folders[max(0, len(folders) - 2)])
+
+
+def _width(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = 8 * len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 16
+        return F.greatest(F.size(c), F.lit(0)) * inner + 16
+    if isinstance(kind, T.StructType):
+        return F.lit(16 * len(kind.fields))
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a side has at most so many rows and bytes; stops reading beyond the rows."""
+    width = F.lit(16).cast("long")
+    for f in df.schema.fields:
+        width = width + _width(F.col(f"`{f.name}`"), f.dataType)
+    n, total = df.select(width.alias("width")).limit(rows + 1).agg(F.count("*"), F.sum("width")).head()
+    return n <= rows and (total or 0) <= size
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a side has at most so many rows; stops counting beyond."""
-    return df.limit(rows + 1).count() <= rows
+def beside(df: DataFrame) -> DataFrame:
+    """The smaller side of a join: broadcast where its size allows."""
+    return F.broadcast(df) if small(df) else df
 
 
-def semi(big: DataFrame, keys: DataFrame, on: str, keep: bool = True) -> DataFrame:
+def semi(big: DataFrame, keys: DataFrame, on: str | list[str], keep: bool = True) -> DataFrame:
     """Rows of big whose key is (or isn't) among keys; keys is broadcast if it is small, else both are shuffled."""
-    side = F.broadcast(keys) if small(keys) else keys
-    return big.join(side, on, "left_semi" if keep else "left_anti")
+    return big.join(beside(keys), on, "left_semi" if keep else "left_anti")

@@ -21,6 +21,8 @@ from .common import cut, small
 FINE = 4
 #: Pairs up to which one task finds the components; beyond, rounds of joins do.
 ONE_TASK_PAIRS = 3_000_000
+#: Rows of a block of a large key; pairs of blocks are worked off apart.
+CELL = 4096
 
 
 def bucket_count(spark: SparkSession, docs: DataFrame) -> int:
@@ -72,6 +74,31 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
+def spread_pairs(first: np.ndarray, last: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) with first[i] <= j < last[i], about ``most`` at a time."""
+    count = np.maximum(last - first, 0)
+    total = np.concatenate(([0], np.cumsum(count)))
+    i = 0
+    while i < len(count):
+        z = max(i + 1, int(np.searchsorted(total, total[i] + most, side="right")) - 1)
+        own = np.repeat(np.arange(i, z), count[i:z])
+        if len(own):
+            yield own, np.arange(len(own)) - np.repeat(total[i:z] - total[i], count[i:z]) + first[own]
+        i = z
+
+
+def cells(rows: DataFrame, columns: list[str], cell: int = CELL) -> DataFrame:
+    """The rows of keys with more than one root, by cells in which all pairs of a key meet: key, x, y, own and the columns.
+
+    A key of n rows has blocks of about ``cell`` rows; a row goes to the cells (x, y) that its block ``own`` is a side
+    of.  Pairs of one block meet in (x, x).  So no task needs to hold a key's rows at once.  All columns are longs.
+    """
+    mixed = rows.groupBy("key").agg(F.count("*").alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("key", F.ceil(F.col("_n") / cell).alias("_blocks"))
+    own = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    out = own.select("key", F.least("own", "_other").alias("x"), F.greatest("own", "_other").alias("y"), "own", *[F.col(c).cast("long").alias(c) for c in columns])
+    return out.repartition("key", "x", "y")
+
+
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     a = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)
