@@ -10,25 +10,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm.common import checkpoint_dir, table
+from lodestar.llm.common import checkpoint_dir, remove, table
 from lodestar.llm.decontaminate import stage_decontaminate
 from lodestar.llm.jaccard import stage_near_duplicates
-from lodestar.llm.lines import stage_line_dedup, without_repeats
+from lodestar.llm.lines import stage_line_dedup
 from lodestar.llm.packing import stage_packing
 from lodestar.llm.quality import stage_quality
 
 
-
-def stage_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without near duplicates, and without the repeated lines of those that stay: also of the ones
-    that the line stage left alone as copies and that are none.  Which line stays is decided among what stays."""
-    return without_repeats(stage_near_duplicates(spark, docs, sf_dir))
-
-
 STAGES = [
     ("quality rules", stage_quality),
     ("line dedup", stage_line_dedup),
-    ("n-gram Jaccard join", stage_copies),
+    ("n-gram Jaccard join", stage_near_duplicates),
     ("benchmark decontamination", stage_decontaminate),
     ("best-fit packing", stage_packing),
 ]
@@ -37,10 +30,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packing plan of what the stages leave of documents; stages are handed on through the shared folder."""
+    """The packing plan of what the stages leave of documents; stages are handed on through the shared folder.
+
+    Each stage's table is removed once the next one has read it; the last one is the result.
+    """
     docs = table(spark, sf_dir, "documents")
     base = f"{checkpoint_dir(spark).rstrip('/')}/lodestar/{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            remove(spark, f"{base}/{k - 1}")
     return docs
