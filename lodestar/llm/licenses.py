@@ -16,9 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import block_of, blocks
-from .common import semi, small, table
+from .common import beside, keep, scratch, small, table
 
 K = 3
+#: Words by which neighbouring diagonals differ, and words between two ranges of one span.
+DRIFT, GAP = 4, 12
 
 _MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
@@ -26,11 +28,15 @@ _MIT = (
     "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
     "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
-    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
 _ISC = (
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-    "provided that the above copyright notice and this permission notice appear in all copies."
+    "provided that the above copyright notice and this permission notice appear in all copies. "
+    "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
@@ -74,7 +80,7 @@ def template_positions(spark: SparkSession, templates: list[tuple[str, str]], k:
 
 
 def rolling_hashes(docs: DataFrame, templates: list[tuple[str, str]], k: int = K) -> DataFrame:
-    """doc_id, word position, hash: all rolling hashes that can meet a template.
+    """doc_id, text_hash, word position, hash: all rolling hashes that can meet a template, of (doc_id, text, text_hash).
 
     A 2 MB bitmap of the templates' hashes, broadcast, drops hashes before they become rows; it lets
     everything through that the join could match.
@@ -87,36 +93,37 @@ def rolling_hashes(docs: DataFrame, templates: list[tuple[str, str]], k: int = K
     def roll(batches):
         bits = np.unpackbits(shared.value).view(bool)
         for b in batches:
-            ids = b.column(0)
             for block in blocks(b.column(1)):
                 h, bounds = block.grams(k)
                 hit = np.flatnonzero(bits[(h >> np.uint64(40)).astype(np.int64)])
                 text = np.searchsorted(bounds, hit, side="right") - 1
+                at = pa.array(text + block.first)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(text + block.first)), pa.array((hit - bounds[text]).astype(np.int32)), pa.array(h[hit].view(np.int64))],
-                    names=["doc_id", "pos", "hash"],
+                    [b.column(0).take(at), b.column(2).take(at), pa.array((hit - bounds[text]).astype(np.int32)), pa.array(h[hit].view(np.int64))],
+                    names=["doc_id", "text_hash", "pos", "hash"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null").mapInArrow(
-        roll, "doc_id long, pos int, hash long"
-    )
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(roll, "doc_id long, text_hash long, pos int, hash long")
+
+
+TEXT = ["doc_id", "text_hash", "template"]
 
 
-def spans(docs: DataFrame, templates: list[tuple[str, str]], k: int = K, drift: int = 4, gap: int = 12) -> DataFrame:
-    """Unverified spans: votes by diagonal, neighbours within ``drift`` merged where their ranges are within ``gap`` words."""
+def spans(docs: DataFrame, templates: list[tuple[str, str]], k: int = K, drift: int = DRIFT, gap: int = GAP) -> DataFrame:
+    """Unverified spans: votes by diagonal; diagonals no more than ``drift`` apart are neighbours, and those of a
+    neighbourhood are one span where their word ranges are within ``gap`` words.  One row a span, with its diagonals."""
     at = template_positions(docs.sparkSession, templates, k)
     at = F.broadcast(at) if small(at) else at
-    votes = rolling_hashes(docs, templates, k).join(at, "hash").select("doc_id", "template", "pos", "at").distinct()
-    diagonals = votes.groupBy("doc_id", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("pos").alias("lo"), (F.max("pos") + k).alias("hi"), F.min("at").alias("t_lo"), (F.max("at") + k).alias("t_hi")
-    )
-    w = W.partitionBy("doc_id", "template").orderBy("lo", "hi", "diagonal")
-    new = (F.abs(F.col("diagonal") - F.lag("diagonal").over(w)) > drift) | (F.col("lo") - F.lag("hi").over(w) > gap)
-    return (
-        diagonals.withColumn("part", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w))
-        .groupBy("doc_id", "template", "part")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("t_lo").alias("t_lo"), F.max("t_hi").alias("t_hi"))
+    votes = rolling_hashes(docs, templates, k).join(at, "hash").select(*TEXT, "pos", "at").distinct()
+    diagonals = votes.groupBy(*TEXT, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+        F.count("*").cast("int").alias("votes"), F.min("pos").alias("lo"), (F.max("pos") + k).alias("hi"), F.min("at").alias("t_lo"), (F.max("at") + k).alias("t_hi")
     )
+    by_diagonal = W.partitionBy(*TEXT).orderBy("diagonal")
+    near = diagonals.withColumn("hood", F.sum(F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > drift, F.lit(True)).cast("int")).over(by_diagonal))
+    by_place = W.partitionBy(*TEXT, "hood").orderBy("lo", "hi", "diagonal")
+    so_far = F.max("hi").over(by_place.rowsBetween(W.unboundedPreceding, -1))
+    parts = near.withColumn("part", F.sum(F.coalesce(F.col("lo") - so_far > gap, F.lit(True)).cast("int")).over(by_place))
+    return parts.groupBy(*TEXT, "hood", "part").agg(F.sort_array(F.collect_list(F.struct("votes", "lo", "hi", "t_lo", "t_hi"))).alias("diagonals"))
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -129,53 +136,74 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def best_span(words: np.ndarray, template: np.ndarray, diagonals: list[tuple[int, ...]], similarity: float, least: int) -> tuple | None:
+    """The widest span of the diagonals (votes, lo, hi, t_lo, t_hi) that is similar enough: those of the fewest votes are left out one by one."""
+    own = sorted(diagonals, key=lambda d: (-d[0], *d[1:]))
+    while own:
+        lo, hi, t_lo, t_hi = min(d[1] for d in own), min(max(d[2] for d in own), len(words)), min(d[3] for d in own), min(max(d[4] for d in own), len(template))
+        if t_hi - t_lo < least:
+            return None
+        alike = 1 - edit_distance(words[lo:hi], template[t_lo:t_hi]) / max(t_hi - t_lo, hi - lo, 1)
+        if alike >= similarity:
+            return lo, hi, (t_hi - t_lo) / len(template), alike
+        own.pop()
+    return None
+
+
+def outermost(passages: list[tuple]) -> list[tuple]:
+    """The passages (template, lo, hi, coverage, similarity) that don't lie within another; of equal ranges the most similar, then the first template."""
+    out: list[tuple] = []
+    for p in sorted(passages, key=lambda p: (p[1] - p[2], -p[4], p[0])):
+        if not any(q[1] <= p[1] and p[2] <= q[2] for q in out):
+            out.append(p)
+    return out
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K, similarity: float = 0.8, least_words: int = 8) -> DataFrame:
-    """Verified license passages: doc_id, license, word range, share of the template's words, similarity.
+    """Verified license passages: doc_id, text_hash (xxhash64 of the text), license, template, word range, share of the template's words, similarity.
 
     A passage holds at least least_words words of the template, or all of a shorter one, and is similar
-    to that part of it.  Passages of two templates of one license that overlap are reported each.  Texts
-    that are null, empty or shorter than k words have none; rows that repeat in full count once; rows
-    without doc_id are left out.
+    to that part of it.  A passage within a longer one isn't reported, passages that overlap in part are reported each;
+    of equally voted diagonals the first in the text goes first.  Texts that are null, empty or shorter than k words have none; rows that repeat
+    in full count once, texts under one doc_id are told apart; rows without doc_id are left out.  Other columns of
+    docs aren't read.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     sizes = [len(x) for x in template_words(templates)]
-    found = spans(docs, templates, k)
-    need = F.create_map(*[F.lit(x) for t, n in enumerate(sizes) for x in (t, min(least_words, n) if n > k else n)])
-    per_doc = found.where(F.col("t_hi") - F.col("t_lo") >= need[F.col("template")]).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("template", "lo", "hi", "t_lo", "t_hi", "votes"))).alias("spans")
-    )
-    from .common import cut
-
-    per_doc = cut(per_doc)
-    texts = semi(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), per_doc.select("doc_id"), "doc_id")
-    small_side = F.broadcast(per_doc) if small(per_doc) else per_doc
+    with scratch(spark):
+        found = spans(docs, templates, k)
+        per_doc = keep(found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("template", "hood", "part", "diagonals"))).alias("spans")))
     shared = spark.sparkContext.broadcast(templates)
 
     def verify(batches):
         words = template_words(shared.value)
         names = [n for n, _ in shared.value]
         for b in batches:
-            ids, lists = b.column(0).to_pylist(), b.column(2).to_pylist()
+            ids, hashes, lists = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
             rows = []
-            for block in blocks(b.column(1)):
+            for block in blocks(b.column(2)):
                 h, bounds = block.word_hashes(), block.words()[2]
                 for i in range(len(block)):
-                    own = h[bounds[i] : bounds[i + 1]]
-                    for s in lists[block.first + i]:
-                        part = words[s["template"]][s["t_lo"] : s["t_hi"]]
-                        mine = own[s["lo"] : s["hi"]]
-                        alike = 1 - edit_distance(mine, part) / max(len(part), len(mine), 1)
-                        if alike >= similarity:
-                            rows.append((ids[block.first + i], names[s["template"]], s["template"], s["lo"], min(s["hi"], len(own)), len(part) / len(words[s["template"]]), alike))
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds)], names=["doc_id", "license", "template", "word_start", "word_end", "coverage", "similarity"])
+                    own, n = h[bounds[i] : bounds[i + 1]], block.first + i
+                    passages = []
+                    for s in lists[n]:
+                        t = s["template"]
+                        least = min(least_words, sizes[t]) if sizes[t] > k else sizes[t]
+                        if got := best_span(own, words[t], [tuple(d.values()) for d in s["diagonals"]], similarity, least):
+                            passages.append((t, *got))
+                    rows += [(ids[n], hashes[n], names[p[0]], *p) for p in outermost(passages)]
+            cols = list(zip(*rows)) if rows else [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds)], names=["doc_id", "text_hash", "license", "template", "word_start", "word_end", "coverage", "similarity"])
 
     return (
-        texts.join(small_side, "doc_id").select("doc_id", "text", "spans")
-        .mapInArrow(verify, "doc_id long, license string, template int, word_start int, word_end int, coverage double, similarity double").distinct()
+        docs.join(beside(per_doc), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "spans")
+        .mapInArrow(verify, "doc_id long, text_hash long, license string, template int, word_start int, word_end int, coverage double, similarity double").distinct()
     )
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License passages of all documents; rows as scan says."""
     return scan(table(spark, sf_dir, "documents"))
