@@ -1,11 +1,14 @@
 """Token-id output, compressed by a Re-Pair grammar per shard.
 
 Texts become token ids of a public byte-level vocabulary.  Per shard the
-frequent pairs of neighbouring ids are replaced by nonterminals again and
-again, in rounds that each replace every pair above a falling frequency, the
-more frequent one first where two overlap.  Rules and expansion lengths are
-stored with the shard, so any token range of any document decodes without
-expanding the rest.
+most frequent pairs of neighbouring ids are replaced by nonterminals again
+and again, in rounds: the first takes the pairs that are at least a share of
+the most frequent one's count, each further one pairs down to that share of
+the bound before, the more frequent first where two overlap.  It ends when no
+pair is so frequent that its rule pays: a rule takes three numbers (its two
+sides and its length) and saves one for each place.  Rules and
+expansion lengths are stored with the shard, so any token range of any
+document decodes without expanding the rest.
 """
 
 from __future__ import annotations
@@ -24,50 +27,52 @@ from .common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARD_TOKENS = 1_000_000
-#: A pair is replaced in a round if it is at least so frequent, as a share of the shard's symbols; at last, least_count.
-SHARES = (1 / 512, 1 / 4096, 1 / 32768)
-LEAST_COUNT = 8
-SLOT_BITS = 19
+#: From round to round pairs that are FALL times rarer are taken; one that is rarer than LEAST_COUNT doesn't pay for its rule.
+FALL = 4
+LEAST_COUNT = 4
+SLOT_BITS = 20
 _SPREAD = np.int64(-7046029254386353131)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
+def encoder_of(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokens(texts: pa.Array, path: str) -> list[np.ndarray]:
+@lru_cache(maxsize=2)
+def encoder(path: str):
+    with open(path, "rb") as f:
+        return encoder_of(f.read())
+
+
+def tokens(texts: pa.Array, enc) -> list[np.ndarray]:
     """Ids of each text; none for a null."""
-    enc = encoder(path)
     none = np.zeros(0, dtype=np.uint32)
     return [enc.encode_to_numpy(x, disallowed_special=()) if x else none for x in texts.to_pylist()]
 
 
-def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int, shares=SHARES, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int, fall: int = FALL, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, their document bounds, and the rules: nonterminal ``terminals + r`` stands for the pair ``rules[r]``.
 
-    A pair never spans two documents.
+    A pair never spans two documents.  At the end no pair of neighbours can be replaced in ``least`` places.  Of
+    equally frequent pairs that overlap, that of the higher slot goes first.
     """
-    seq = np.asarray(ids, dtype=np.int64)
+    seq = np.array(ids, dtype=np.int64)
     head = np.zeros(len(seq) + 1, dtype=bool)
     head[np.asarray(bounds)] = True
     head = head[:-1]
     rules: list[np.ndarray] = []
-    symbols = terminals
-    # After the falling shares, rounds at the least count go on while a round still saves a fiftieth.
-    plan = [max(least, int(len(seq) * s)) for s in shares]
-    while len(seq) > 1:
-        last = not plan
-        floor = plan.pop(0) if plan else least
+    symbols, floor = terminals, 0
+    while len(seq) > 1 and floor != least:
         code = (seq[:-1] << 32) | seq[1:]
         slot = ((code * _SPREAD).view(np.uint64) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
         slot[head[1:]] = 1 << SLOT_BITS  # no pair across documents
         count = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)
         count[-1] = 0
+        floor = max(least, (floor or int(count.max())) // fall)
         able = np.flatnonzero(count[slot] >= floor)
         # Pairs that share a slot: one of them stands for it in this round, the others wait.
         own = slot[able]
@@ -81,23 +86,21 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int, shares=SHARES,
         mine = rank[able + 1]
         ahead = (mine > 0) & (mine > rank[able]) & (mine >= rank[np.minimum(able + 2, len(seq))])
         at, own = able[ahead], own[ahead]
-        number = np.bincount(own, minlength=len(count))
-        good = number[own] >= max(3, least // 2)
+        good = np.bincount(own, minlength=len(count))[own] >= least
         at, own = at[good], own[good]
-        if len(at):
-            used = np.zeros(len(count), dtype=bool)
-            used[own] = True
-            each = np.flatnonzero(used)
-            name = np.cumsum(used) - 1
-            got = stands[each]
-            rules.append(np.column_stack((got >> 32, got & 0xFFFFFFFF)))
-            seq[at] = symbols + name[own]
-            symbols += len(got)
-            keep = np.ones(len(seq), dtype=bool)
-            keep[at + 1] = False
-            seq, head = seq[keep], head[keep]
-        if last and len(at) <= len(seq) // 50:
-            break
+        used = np.zeros(len(count), dtype=bool)
+        used[own] = True
+        each = np.flatnonzero(used)
+        got = stands[each]
+        rules.append(np.column_stack((got >> 32, got & 0xFFFFFFFF)))
+        seq[at] = symbols + (np.cumsum(used) - 1)[own]
+        symbols += len(got)
+        left = np.ones(len(seq), dtype=bool)
+        left[at + 1] = False
+        seq, head = seq[left], head[left]
+    if len(seq) > 1:
+        seq, head, more = _finish(seq, head, symbols, least)
+        rules += more
     new_bounds = np.append(np.flatnonzero(head), len(seq))
     full = np.asarray(bounds)
     # Empty documents have no head of their own.
@@ -105,6 +108,78 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int, shares=SHARES,
     return seq, new_bounds[starts], np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
 
 
+def _finish(seq: np.ndarray, head: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Replaces pairs until none is left in ``least`` places: by exact counts, and only where something changed.
+
+    Symbols are linked, so that a replaced pair leaves a hole; a pair that becomes frequent has a new symbol, so it
+    lies beside a place that was replaced.
+    """
+    n = len(seq)
+    following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    ends = np.append(head[1:], True)  # no pair begins at a document's last symbol
+    hole = np.zeros(n, dtype=bool)
+    rules: list[np.ndarray] = []
+    able = np.arange(n)
+    while True:
+        able = able[~hole[able] & ~ends[able]]
+        code = (seq[able] << 32) | seq[following[able]]
+        kinds, of, times = np.unique(code, return_inverse=True, return_counts=True)
+        some = times[of] >= least
+        able, of = able[some], of[some]
+        if not len(able):
+            break
+        rank = np.zeros(n + 1, dtype=np.int64)
+        mine = (times[of] << 32) | (of + 1)
+        rank[able] = mine
+        # The more frequent of two that overlap; of a run of one pair every other place, from its start.
+        first = rank[before[able]] < mine  # before[0] is the last place of rank, which is none
+        at, own = able, of
+        twin = rank[before[able]] == mine
+        odd = np.zeros(n + 1, dtype=bool)
+        if twin.any():
+            run = np.cumsum(~twin)
+            start = np.flatnonzero(~twin)
+            step = np.arange(len(able)) - start[run - 1]
+            first = (first[start][run - 1]) & (step % 2 == 0)
+            odd[able] = step % 2 == 1
+        after = rank[following[able]]
+        take = first & ((after <= mine) | odd[following[able]] & (after == mine))
+        at, own = able[take], of[take]
+        enough = np.bincount(own, minlength=len(kinds)) >= least
+        good = enough[own]
+        at, own = at[good], own[good]
+        if not len(at):
+            # Overlaps hold all of them back: the most frequent pair goes alone, from left to right.
+            best = int(np.argmax(np.where(np.bincount(of, minlength=len(kinds)) > 0, times, 0)))
+            mine_at = able[of == best]
+            pick, last = [], -1
+            for i in mine_at.tolist():
+                if i != last:
+                    pick.append(i)
+                    last = int(following[i])
+            if len(pick) < least:
+                able = able[of != best]
+                continue
+            at, own = np.array(pick), np.full(len(pick), best)
+            enough = np.zeros(len(kinds), dtype=bool)
+            enough[best] = True
+        used = np.zeros(len(kinds), dtype=bool)
+        used[own] = True
+        got = kinds[used]
+        rules.append(np.column_stack((got >> 32, got & 0xFFFFFFFF)))
+        seq[at] = symbols + (np.cumsum(used) - 1)[own]
+        symbols += len(got)
+        gone = following[at]
+        hole[gone] = True
+        ends[at] = ends[gone]
+        to = following[gone]
+        following[at] = to
+        inside = to < n
+        before[to[inside]] = at[inside]
+        able = np.unique(np.concatenate((able, at, before[at][before[at] >= 0])))
+    return seq[~hole], head[~hole], rules
+
+
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     """Tokens that each nonterminal stands for."""
     out = np.zeros(len(rules), dtype=np.int64)
@@ -152,10 +227,14 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
 
     Binary columns are little-endian uint32.  A null or empty text is a document of no tokens; a null doc_id
     stays null; repeated rows are stored each; a long document is one shard with its neighbours, never cut.
+    The vocabulary file is read by the driver and travels with the job.
     """
+    with open(vocabulary, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def write(batches):
-        terminals = encoder(vocabulary).max_token_value + 2
+        enc = encoder_of(shared.value)
+        terminals = enc.max_token_value + 2
         part, number, have = TaskContext.get().partitionId(), 0, 0
         ids: list[pa.Array] = []
         parts: list[np.ndarray] = []
@@ -178,7 +257,7 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
             while at < len(b):
                 some = b.slice(at, 128)
                 ids.append(some.column(0))
-                new = tokens(some.column(1), vocabulary)
+                new = tokens(some.column(1), enc)
                 parts += new
                 have += sum(map(len, new))
                 at += len(some)
@@ -208,4 +287,5 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as compressed token ids; rows as write_shards says."""
     return write_shards(table(spark, sf_dir, "documents"))
