@@ -4,8 +4,9 @@ A test item may occur with up to ``k`` edits (a share of its length).  Cut
 into k + 1 pieces, at least one piece occurs exactly; an Aho-Corasick
 automaton finds all exact piece hits in one pass over a text, each hit fixes
 where the item would lie, and Myers' bit-parallel distance verifies it.
-Texts and items are compared as folded words, so case, punctuation and line
-breaks don't count as edits.
+Texts and items are compared as folded words with a space before the first
+and after the last, so case, punctuation and line breaks don't count as
+edits, and a short item matches whole words only.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from .blocks import blocks
 from .common import table
 
 ERROR_RATE = 0.06
-LEAST_BYTES = 24
 #: Bytes of items whose automaton is broadcast at once; a larger benchmark is scanned in several parts.
 PART_BYTES = 8_000_000
 
@@ -49,8 +49,9 @@ def budget(size: int, rate: float) -> int:
 
 
 class Pattern:
-    def __init__(self, item_id: int, text: str, rate: float):
-        self.item_id, self.text, self.k = item_id, text, budget(len(text), rate)
+    def __init__(self, item_id: int, words: str, rate: float):
+        self.item_id, self.text, self.k = item_id, f" {words} ", budget(len(words), rate)
+        text = self.text
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
@@ -82,11 +83,11 @@ class Pattern:
 class Matcher:
     """The items' pieces in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, least: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float):
         self.patterns = []
         places: dict[str, list[tuple[int, int]]] = {}
         for (item_id, _), text in zip(items, normal(pa.array([t for _, t in items], type=pa.string()))):
-            if len(text) < least:
+            if not text:
                 continue
             at = len(self.patterns)
             p = Pattern(item_id, text.decode("latin-1"), rate)
@@ -104,7 +105,7 @@ class Matcher:
         """item, first word, edits and error budget of every occurrence, by item and place; overlapping ones once."""
         if self.empty or not raw:
             return []
-        text = raw.decode("latin-1")
+        text = f" {raw.decode('latin-1')} "
         starts: dict[int, list[int]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for at, lo in where:
@@ -123,7 +124,7 @@ class Matcher:
                 edits, end = p.best(text[lo : diagonals[j] + len(p.text) + p.k])
                 if edits <= p.k:
                     start = max(0, lo + end - len(p.text))
-                    out.append((p.item_id, text.count(" ", 0, start), edits, p.k))
+                    out.append((p.item_id, max(0, text.count(" ", 0, start + 1) - 1), edits, p.k))
                 i = j + 1
         out.sort(key=lambda x: (x[0], x[2], x[1]))
         kept: list[tuple[int, int, int, int]] = []
@@ -146,12 +147,13 @@ def _parts(benchmark: DataFrame, part_bytes: int) -> list[list[tuple[int, str]]]
     return parts
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, part_bytes: int = PART_BYTES) -> DataFrame:
     """Every occurrence of an item in a document: doc_id, item_id, first word, edits, error budget.
 
-    Texts are searched whole.  Null or empty texts and items match nothing, nor do items below ``least``
-    normalised bytes; repeated documents are reported each, repeated items once an item_id; a document
-    without doc_id is reported with a null.
+    Texts are searched whole.  Null, empty or wordless texts and items match nothing; an item so short that the
+    budget is 0 must occur as it is.  Repeated documents are reported each, repeated items once an item_id; a document
+    without doc_id is reported with a null.  Of overlapping matches of an item that of the fewest edits, then the
+    first, is reported.  Other columns of docs aren't read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
@@ -160,7 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
         shared = spark.sparkContext.broadcast(items)
 
         def find(batches):
-            matcher = Matcher(shared.value, rate, least)
+            matcher = Matcher(shared.value, rate)
             for b in batches:
                 at, found = [], []
                 for i, raw in enumerate(normal(b.column(1))):
@@ -177,27 +179,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     return reduce(DataFrame.unionByName, [over(x) for x in _parts(benchmark, part_bytes)])
 
 
-def _clean(shared: Broadcast, rate: float, least: int):
+def _clean(shared: Broadcast, rate: float):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(shared.value, rate, least)
+        matcher = Matcher(shared.value, rate)
         for text in batches:
             yield pd.Series([not matcher.match(raw) for raw in normal(pa.array(text, type=pa.string(), from_pandas=True))], dtype=bool)
 
     return clean
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
-    """The documents in which no item occurs, with all their columns; null and empty texts stay."""
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The documents in which no item occurs, with all their columns; null and empty texts stay, rows that repeat share a decision."""
     spark = docs.sparkSession
     for items in _parts(benchmark, part_bytes):
-        docs = docs.where(_clean(spark.sparkContext.broadcast(items), rate, least)(F.col("text").cast("string")))
+        docs = docs.where(_clean(spark.sparkContext.broadcast(items), rate)(F.col("text").cast("string")))
     return docs
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents; rows as find_leaks says."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no benchmark item occurs, with all their columns; nulls, empties and repeats as clean_documents says."""
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
