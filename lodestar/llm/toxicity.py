@@ -3,7 +3,9 @@
 The lexicon is learned from labelled rows: terms and stems that toxic
 documents have and clean ones lack, chosen by how many toxic documents they
 explain.  A Levenshtein automaton run along the lexicon trie finds words
-within one edit of a term.  Hits inside quotation marks or after words of
+within one edit of a term, a swap of two neighbours being one.  What such a
+hit weighs is fitted by term: as much as the term itself if no clean labelled
+document has a word so near it, else half.  Hits inside quotation marks or after words of
 reporting count little, hits near other hits count more; a document whose
 hits add up to ``CUT`` is toxic.
 """
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, block_of, blocks, span_hash
-from .common import cut, table
+from .common import beside, cut, scratch, table
 
 FIT_ROWS = 12_000
 CUT = 1.0
@@ -62,25 +64,29 @@ class Trie:
         """A term within k edits: the Levenshtein automaton of the word, its states as rows of distances, walks the trie."""
         n = len(word)
         best: tuple[int, str] | None = None
-        stack = [(0, 0, list(range(n + 1)))]
+        stack = [(0, 0, list(range(n + 1)), None, "")]
         while stack:
-            at, depth, row = stack.pop()
+            at, depth, row, above, last = stack.pop()
             term = self.term[at]
             if term is not None and depth >= least and row[n] <= k and (best is None or (row[n], term) < best):
                 best = (row[n], term)
             for c, nxt in self.next[at].items():
                 new = [row[0] + 1]
                 for i in range(n):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (word[i] != c)))
+                    d = min(new[i] + 1, row[i + 1] + 1, row[i] + (word[i] != c))
+                    if above is not None and i and word[i] == last and word[i - 1] == c:
+                        d = min(d, above[i - 1] + 1)
+                    new.append(d)
                 if min(new) <= k:
-                    stack.append((nxt, depth + 1, new))
+                    stack.append((nxt, depth + 1, new, row, c))
         return best[1] if best else None
 
 
 class Lexicon:
-    def __init__(self, terms: list[str], stems: dict[str, float], ordinary: list[str]):
+    def __init__(self, terms: list[str], stems: dict[str, float], ordinary: list[str], near: dict[str, float] | None = None):
         #: stems: with the weight of a hit; ordinary: words one edit from a term that clean labelled documents have
-        self.terms, self.stems, self.ordinary = sorted(terms), dict(sorted(stems.items())), set(ordinary)
+        #: near: what a word one edit from a term weighs, NEAR if it isn't said
+        self.terms, self.stems, self.ordinary, self.near = sorted(terms), dict(sorted(stems.items())), set(ordinary), near or {}
 
     def build(self) -> Trie:
         """The terms; automata walk only these, stems have a trie of their own."""
@@ -99,7 +105,8 @@ class Lexicon:
 class Finder:
     """Words of a block that may match, found by the hashes of their heads and tails, then checked on the trie.
 
-    Of a word one edit from a term, the term's first half starts it or the second half ends it.
+    Of a word one edit from a term, the term's first half starts it or the second half ends it, or the two letters
+    where the halves meet are swapped.
     """
 
     def __init__(self, lexicon: Lexicon):
@@ -110,6 +117,9 @@ class Finder:
             if len(t) >= FUZZY_LENGTH:
                 a, b = t[: len(t) // 2].encode(), t[len(t) // 2 :].encode()
                 heads.setdefault(len(a), set()).add(a)
+                half = len(t) // 2
+                swapped = (t[: half - 1] + t[half] + t[half - 1]).encode()
+                heads.setdefault(len(swapped), set()).add(swapped)
                 tails.setdefault(len(b), set()).add(b)
             else:
                 heads.setdefault(len(t.encode()), set()).add(t.encode())
@@ -131,7 +141,8 @@ class Finder:
             if term is None and (term := self.stems.exact(word)) is not None:
                 weight = self.lexicon.stems[term]
             if term is None and len(word) >= FUZZY_LENGTH - 1 and word not in self.lexicon.ordinary:
-                term, weight = self.trie.near(word), NEAR
+                term = self.trie.near(word)
+                weight = self.lexicon.near.get(term, NEAR)
             self.known[word] = (term, weight) if term is not None else None
         return self.known[word]
 
@@ -215,13 +226,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clean_shar
     several words share which toxic documents have ``lift`` times as often as clean ones; where a stem
     isn't as pure as a term, its hits weigh half.  Both are picked greedily by toxic documents not yet
     explained; copies of one document count once, so the words that only they share add nothing.  Then terms as frequent as a
-    fifth of the picked ones' median are added.
+    fifth of the picked ones' median are added.  Words of fewer than three bytes are no terms.
     """
     picked = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).where("doc_id is not null and _toxic is not null").groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"))
         .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows)
     )
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    with scratch(docs.sparkSession):
+        return _fit(docs, picked, clean_share, lift)
+
+
+def _fit(docs: DataFrame, picked: DataFrame, clean_share: float, lift: float) -> Lexicon:
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")  # fit_rows at most
 
     def vocabulary(batches):
         for b in batches:
@@ -234,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clean_shar
                 for i in range(len(block)):
                     _, first = np.unique(hashes[bounds[i] : bounds[i + 1]], return_index=True)
                     first += bounds[i]
-                    own = [folded[x:y].decode("utf-8", "replace") for x, y in zip(starts[first].tolist(), ends[first].tolist()) if 3 <= y - x <= 64]
+                    own = [folded[x:y].decode("utf-8", "replace") for x, y in zip(starts[first].tolist(), ends[first].tolist()) if y - x >= 3]
                     words += own
                     at += [block.first + i] * len(own)
                     kind += [toxic[block.first + i]] * len(own)
@@ -247,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clean_shar
     odds = lift * totals[True] / max(1, totals.get(False, 0))
     counts = cut(seen.groupBy("word").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("good")))
     able = counts.where((F.col("bad") >= 2) & (F.col("good") * odds <= F.col("bad")))
-    has = seen.where("toxic > 0").join(F.broadcast(able), "word").groupBy("doc_id").agg(F.collect_set("word").alias("words")).toPandas()
+    has = seen.where("toxic > 0").join(beside(able), "word").groupBy("doc_id").agg(F.collect_set("word").alias("words")).toPandas()
     pure = {r["word"] for r in able.where(F.col("good") <= F.col("bad") * clean_share).select("word").collect()}
     docs_of: dict[str, set[int]] = {}
     copies = _copies([set(words) for words in has["words"]])
@@ -264,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clean_shar
         sizes = sorted({len(s) for s in stems})
         mine = docs.sparkSession.createDataFrame([(s,) for s in stems], "stem string")
         heads = counts.where("good > 0").select("good", F.explode(F.array_distinct(F.array(*[F.substring("word", 1, n) for n in sizes]))).alias("stem"))
-        good = {r["stem"]: r["good"] for r in heads.join(F.broadcast(mine), "stem").groupBy("stem").agg(F.sum("good").alias("good")).collect()}
+        good = {r["stem"]: r["good"] for r in heads.join(beside(mine), "stem").groupBy("stem").agg(F.sum("good").alias("good")).collect()}
         stems = {s: d for s, d in stems.items() if good.get(s, 0) * odds <= len(d)}
         weights = {s: EXACT if good.get(s, 0) <= len(d) * clean_share else NEAR for s, d in stems.items()}
     candidates = {(w, False): d for w, d in docs_of.items() if w in pure} | {(s, True): d for s, d in stems.items()}
@@ -289,16 +305,22 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clean_shar
     def neighbours(batches):
         trie = shared.value.build()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in b.column(0).to_pylist() if trie.exact(w) is None and trie.near(w)], type=pa.string())], names=["word"])
+            own = [(w, t, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if trie.exact(w) is None and (t := trie.near(w))]
+            cols = list(zip(*own)) if own else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], type=pa.string()), pa.array(cols[1], type=pa.string()), pa.array(cols[2], type=pa.int64())], names=["word", "term", "good"])
 
-    near = counts.where((F.col("good") > 0) & F.length("word").between(FUZZY_LENGTH - 1, max(map(len, terms), default=0) + 1)).select("word").mapInArrow(neighbours, "word string")
-    return Lexicon(terms, lexicon.stems, [r["word"] for r in near.collect()] if terms else [])
+    near = counts.where((F.col("good") > 0) & F.length("word").between(FUZZY_LENGTH - 1, max(map(len, terms), default=0) + 1)).select("word", "good").mapInArrow(neighbours, "word string, term string, good long")
+    rows = near.collect() if terms else []
+    beset = {r["term"] for r in rows}
+    weight = {t: NEAR if t in beset else EXACT for t in terms}
+    return Lexicon(terms, lexicon.stems, [r["word"] for r in rows], weight)
 
 
 def find_toxic(docs: DataFrame, lexicon: Lexicon, cut_at: float = CUT) -> DataFrame:
     """The toxic documents: doc_id, score, hits, how many of them were quoted, and the terms.
 
-    Null and empty texts aren't toxic; rows that repeat are reported each; an empty lexicon finds nothing.
+    Null and empty texts aren't toxic; rows that repeat are reported each; an empty lexicon finds nothing; a score of
+    cut_at itself is toxic.  Of terms equally near to a word the first by name counts.  Other columns of docs aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -323,5 +345,6 @@ def find_toxic(docs: DataFrame, lexicon: Lexicon, cut_at: float = CUT) -> DataFr
 
 
 def op7_toxic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic ones of all documents, by a lexicon of the labelled ones; rows as find_toxic says."""
     docs = table(spark, sf_dir, "documents")
     return find_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
