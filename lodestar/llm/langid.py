@@ -22,13 +22,23 @@ from .common import table
 
 SLOTS = 1 << 16
 RUN = 48
-#: UTF-8 lead bytes by script; Latin is anything below.  A script no training language uses has code "und".
-SCRIPTS = {"latin": (0x00, 0xCD), "greek": (0xCD, 0xD0), "cyrillic": (0xD0, 0xD4), "hebrew": (0xD6, 0xD8), "arabic": (0xD8, 0xDC), "indic": (0xE0, 0xE1), "asian": (0xE3, 0xF0)}
-_SCRIPT_OF = np.zeros(256, dtype=np.int8)
-for _k, (_name, (_a, _b)) in enumerate(SCRIPTS.items()):
-    _SCRIPT_OF[_a:_b] = _k
-_SCRIPT_OF[0x80:0xC0] = -1
-_SCRIPT_OF[0xE1:0xE3] = 0
+#: Code points by script; what lies outside counts as Latin.  A script no training language uses has code "und".
+SCRIPTS: dict[str, list[tuple[int, int]]] = {
+    "latin": [(0x0000, 0x0370), (0x1E00, 0x1F00), (0x2C60, 0x2C80), (0xA720, 0xA800), (0xFF21, 0xFF5B)], "greek": [(0x0370, 0x0400), (0x1F00, 0x2000)], "cyrillic": [(0x0400, 0x0530), (0x1C80, 0x1C90), (0x2DE0, 0x2E00), (0xA640, 0xA6A0)],
+    "armenian": [(0x0530, 0x0590)], "hebrew": [(0x0590, 0x0600), (0xFB1D, 0xFB50)], "arabic": [(0x0600, 0x0700), (0x0750, 0x0780), (0x08A0, 0x0900), (0xFB50, 0xFE00), (0xFE70, 0xFF00)],
+    "devanagari": [(0x0900, 0x0980)], "bengali": [(0x0980, 0x0A00)], "gurmukhi": [(0x0A00, 0x0A80)], "gujarati": [(0x0A80, 0x0B00)], "oriya": [(0x0B00, 0x0B80)], "tamil": [(0x0B80, 0x0C00)], "telugu": [(0x0C00, 0x0C80)],
+    "kannada": [(0x0C80, 0x0D00)], "malayalam": [(0x0D00, 0x0D80)], "sinhala": [(0x0D80, 0x0E00)], "thai": [(0x0E00, 0x0E80)], "lao": [(0x0E80, 0x0F00)], "tibetan": [(0x0F00, 0x1000)], "myanmar": [(0x1000, 0x10A0)],
+    "georgian": [(0x10A0, 0x1100), (0x1C90, 0x1CC0), (0x2D00, 0x2D30)], "hangul": [(0x1100, 0x1200), (0x3130, 0x3190), (0xA960, 0xA980), (0xAC00, 0xD7FC)], "ethiopic": [(0x1200, 0x13A0), (0x2D80, 0x2DE0)], "khmer": [(0x1780, 0x1800)],
+    "mongolian": [(0x1800, 0x18B0)], "kana": [(0x3040, 0x3100), (0x31F0, 0x3200), (0xFF66, 0xFFA0)], "han": [(0x2E80, 0x2FE0), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000)],
+}
+_RANGES = sorted((a, z, k) for k, own in enumerate(SCRIPTS.values()) for a, z in own)
+_RANGE_FROM, _RANGE_TO, _RANGE_OF = (np.array(x) for x in zip(*_RANGES))
+
+
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """The script of each code point, by number; 0 where no range holds it."""
+    at = np.searchsorted(_RANGE_FROM, points, side="right") - 1
+    return np.where(points < _RANGE_TO[at], _RANGE_OF[at], 0)
 
 
 def trigram_slots(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,18 +116,23 @@ def fit(docs: DataFrame, fit_rows: int = 4_000, penalty: float = 12.0, seed: int
 
 
 def word_scripts(block: Block) -> np.ndarray:
-    """The script of each word: of its first byte above ASCII that isn't Latin, else Latin."""
+    """The script of each word: that of its characters which has the highest number, so Latin only if all are."""
     starts, ends, _ = block.words()
-    script = _SCRIPT_OF[block.data].astype(np.int16)
-    script[script < 0] = 0
     if not len(starts):
         return np.zeros(0, np.int64)
-    if not script.any():
+    # A character's script stands at its first byte; characters below U+0370 are Latin.
+    lead = np.flatnonzero(block.data >= 0xCD)
+    if not len(lead):
         return np.zeros(len(starts), np.int64)
+    padded = np.concatenate((block.data, np.zeros(4, np.uint8))).astype(np.int64)
+    b = [padded[lead + k] & 63 for k in range(4)]
+    first = block.data[lead].astype(np.int64)
+    two, three, four = (first & 31) << 6 | b[1], (first & 15) << 12 | b[1] << 6 | b[2], (first & 7) << 18 | b[1] << 12 | b[2] << 6 | b[3]
+    script = np.zeros(len(block.data) + 1, np.int16)
+    script[lead] = scripts_of(np.where(first < 0xE0, two, np.where(first < 0xF0, three, four)))
     flat = np.empty(len(starts) * 2, dtype=np.int64)
     flat[0::2], flat[1::2] = starts, ends
-    padded = np.concatenate((script, np.zeros(1, np.int16)))
-    return np.maximum.reduceat(padded, flat)[::2].astype(np.int64)
+    return np.maximum.reduceat(script, flat)[::2].astype(np.int64)
 
 
 def word_scores(block: Block, model: LanguageModel) -> np.ndarray:
@@ -138,7 +153,7 @@ def word_scores(block: Block, model: LanguageModel) -> np.ndarray:
 def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray:
     """The best language of each word, by text; ties go to staying, then to the first language."""
     words, k = scores.shape
-    best = np.zeros(words, dtype=np.int8)
+    best = np.zeros(words, dtype=np.int16)
     if not words or k == 1:
         return best
     count = np.diff(bounds)
@@ -154,7 +169,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     # value[r, entry, now]: best score of run r's words so far if its first word is in language entry.
     value = np.full((n, k, k), np.float32(-3e38))
     value[:, np.arange(k), np.arange(k)] = scores[first]
-    came = np.zeros((RUN, n, k, k), dtype=np.int8)
+    came = np.zeros((RUN, n, k, k), dtype=np.int8 if k < 128 else np.int16)
     for t in range(1, int(size[0]) if n else 0):
         m = int(np.searchsorted(-size, -t, side="left"))
         if not m:
@@ -173,9 +188,9 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     texts = texts[np.argsort(-runs_of[texts], kind="stable")]
     deepest = int(runs_of[texts[0]])
     exit_value = value[at[base[texts]]].max(1)
-    entry_of = np.zeros((n, k), dtype=np.int8)
+    entry_of = np.zeros((n, k), dtype=np.int16)
     entry_of[at[base[texts]]] = value[at[base[texts]]].argmax(1)
-    before = np.zeros((n, k), dtype=np.int8)
+    before = np.zeros((n, k), dtype=np.int16)
     for r in range(1, deepest):
         m = int((runs_of[texts] > r).sum())
         run = at[base[texts[:m]] + r]
@@ -225,7 +240,9 @@ def label_spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """One row a span: doc_id, span number, first word, words, byte range in the UTF-8 text, language.
 
     A text without words (null, empty, only signs) has one span without words, language "und"; words
-    in a script of no training language keep their neighbours' language.  Repeated rows get equal rows each.
+    in a script of no training language keep their neighbours' language.  Of equal paths the one that stays in its
+    language, then the first language by name, is taken.  Repeated rows get equal rows each.  Other columns of docs
+    aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -259,5 +276,6 @@ def label_spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language spans of all documents; rows as label_spans says."""
     docs = table(spark, sf_dir, "documents")
     return label_spans(docs, fit(docs))
