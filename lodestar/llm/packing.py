@@ -99,10 +99,12 @@ def words(text: Column) -> Column:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, length: Column | None = None) -> DataFrame:
-    """One row a piece: doc_id, piece, first word, words, shard, bin, place and start in the bin.
+    """One row a piece: doc_id, piece, first word, words, shard, bin (numbered within the shard), place and start in the bin.
 
+    A piece of a whole bin has a bin of its own.  Of pieces of one length the least doc_id, then piece, goes first.
     A document without words (null, empty, blank) takes no room and isn't in the result; repeated rows are
-    packed each; a null doc_id is packed as null.  ``length`` measures a row, by default in words.
+    packed each; a null doc_id is packed as null.  ``length`` measures a row, by default in words.  Other columns
+    of docs aren't read.
     """
     spark = docs.sparkSession
     measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (length if length is not None else words(F.col("text").cast("string"))).cast("long").alias("n")).where("n > 0")
@@ -111,10 +113,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int
         "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).alias("piece")
     ).select("doc_id", "piece", (F.col("piece") * capacity).alias("first_word"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("words"))
     shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).alias("shard")
-    full = pieces.where(F.col("words") == capacity).select(
-        "doc_id", "piece", "first_word", "words", F.lit(-1).cast("long").alias("shard"), F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("start")
-    )
-    part = pieces.where(F.col("words") < capacity).select("doc_id", "piece", "first_word", "words", shard)
+    part = pieces.select("doc_id", "piece", "first_word", "words", shard)
 
     def pack_shard(t: pa.Table) -> pa.Table:
         t = t.sort_by([("words", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
@@ -124,13 +123,14 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int
         return t
 
     schema = "doc_id long, piece long, first_word long, words long, shard long, bin long, place long, start long"
-    return part.groupBy("shard").applyInArrow(pack_shard, schema).unionByName(full)
+    return part.groupBy("shard").applyInArrow(pack_shard, schema)
 
 
 def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing plan of all documents; rows as pack_documents says."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packing plan of all documents that came so far."""
+    """The packing plan of all documents that came so far: rows, nulls, empties, ties and repeats as pack_documents says."""
     return pack_documents(docs)
