@@ -126,6 +126,7 @@ def _decide_by_join(rows: DataFrame, entries: DataFrame, default: str) -> DataFr
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on all pages; rows as decide says."""
     return decide(table(spark, sf_dir, "pages"), ENTRIES)
 
 
