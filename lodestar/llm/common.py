@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import threading
@@ -51,6 +52,12 @@ def trim() -> None:
         pass
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that have been cut: it does so when the driver forgets the plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; in local mode, where none is named, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import jaccard
 from .blocks import Block, block_of, blocks, mix, span_hash
-from .common import beside, cut, keep, lean, scratch, semi, table, trim
+from .common import beside, cut, keep, lean, scratch, semi, table, tidy, trim
 from .runs import FINE, bucket_count, cells, components, groups, pack, send, spread_pairs, unique_pairs, unpack
 
 EDITS = 2
@@ -422,6 +422,7 @@ def repeated_lines(docs: DataFrame, k: int = EDITS) -> DataFrame:
     with scratch(spark), lean(spark):
         found = cut(docs.mapInArrow(find, "doc_id long, text_hash long, line_no int, line_bytes int, lid long"))
         met = cut(send(docs.select("doc_id", "text").mapInArrow(offer, "bucket int, packed binary"), tasks).mapInArrow(meet, "a long, b long, key long"))
+        tidy(spark)
         pairs = cut(met.where("b is not null").select("a", "b").distinct())
         large = met.where("b is null").select("key", F.col("a").alias("id"))
         at = F.struct(*OCCURRENCE)
@@ -469,10 +470,10 @@ def _copies(docs: DataFrame, repeats: DataFrame, t: float) -> DataFrame:
         F.collect_set("line_no").alias("all"), F.collect_set(F.when(F.col("original_row").eqNullSafe(F.col("original")), None).otherwise(F.col("line_no"))).alias("others"))
     lost = cut(lost.join(beside(best), "row", "full"))
     none = F.array().cast("array<int>")
-    left = docs.join(beside(lost.where("original is not null")), "row").select(F.col("row").alias("id"), _without("text", F.coalesce("others", none)).alias("text"))
-    right = semi(docs, best.select(F.col("original").alias("row")).distinct(), "row").join(beside(lost.select("row", "all")), "row", "left").select(F.bitwise_not("row").alias("id"), _without("text", F.coalesce("all", none)).alias("text"))
-    sets = cut(jaccard.ordered_sets(left.unionByName(right), jaccard.N, None, own_id=True))
-    near = jaccard.verify(best.select(F.bitwise_not("original").alias("a"), F.col("row").alias("b")), sets, t)
+    left = docs.join(beside(lost.where("original is not null")), "row").select(F.col("row").alias("id"), _without("text", F.coalesce("others", none)).alias("text"), F.array(F.bitwise_not("original")).alias("targets"))
+    right = semi(docs, best.select(F.col("original").alias("row")).distinct(), "row").join(beside(lost.select("row", "all")), "row", "left")
+    right = right.select(F.bitwise_not("row").alias("id"), _without("text", F.coalesce("all", none)).alias("text"), F.array(F.bitwise_not("row")).alias("targets"))
+    near = jaccard.verify(jaccard.moved_sets(left.unionByName(right), jaccard.N), t)
     return cut(near.select(F.col("b").alias("row"), F.bitwise_not("a").alias("original")).distinct())
 
 
