@@ -95,6 +95,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _active.folders = before
         remove(spark, folder)
+        if not before:
+            tidy(spark)
 
 
 def _written(df: DataFrame, folder: str) -> DataFrame:
