@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 #: Rows and bytes of a broadcast side; above either the operators join by shuffle instead.
 BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 24 << 20
 #: Bytes of an Arrow batch, and what Spark gives where no size is set.
 BATCH_BYTES = 8 << 20
 DEFAULT_BYTES = "67108864b"
