@@ -16,14 +16,12 @@ from functools import reduce
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blocks
-from .common import table
+from .common import beside, keep, lean, scratch, table, trim
 
 ERROR_RATE = 0.06
 #: Bytes of items whose automaton is broadcast at once; a larger benchmark is scanned in several parts.
@@ -179,22 +177,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     return reduce(DataFrame.unionByName, [over(x) for x in _parts(benchmark, part_bytes)])
 
 
-def _clean(shared: Broadcast, rate: float):
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(shared.value, rate)
-        for text in batches:
-            yield pd.Series([not matcher.match(raw) for raw in normal(pa.array(text, type=pa.string(), from_pandas=True))], dtype=bool)
-
-    return clean
-
-
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, part_bytes: int = PART_BYTES) -> DataFrame:
     """The documents in which no item occurs, with all their columns; null and empty texts stay, rows that repeat share a decision."""
     spark = docs.sparkSession
-    for items in _parts(benchmark, part_bytes):
-        docs = docs.where(_clean(spark.sparkContext.broadcast(items), rate)(F.col("text").cast("string")))
-    return docs
+    text = F.col("text").cast("string")
+    rows = docs.where("text is not null").select(text.alias("text"), F.xxhash64(text).alias("__lodestar_hash"), F.octet_length(text).alias("__lodestar_size"))
+
+    def over(items: list[tuple[int, str]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(items)
+
+        def find(batches):
+            matcher = Matcher(shared.value, rate)
+            for b in batches:
+                at = pa.array([i for i, raw in enumerate(normal(b.column(0))) if matcher.match(raw)], type=pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at)], names=["__lodestar_hash", "__lodestar_size"])
+            trim()
+
+        return rows.mapInArrow(find, "__lodestar_hash long, __lodestar_size int")
+
+    with scratch(spark), lean(spark):
+        leaks = keep(reduce(DataFrame.unionByName, [over(x) for x in _parts(benchmark, part_bytes)]).distinct())
+    same = (F.xxhash64(text) == F.col("__lodestar_hash")) & (F.octet_length(text) == F.col("__lodestar_size"))
+    return docs.join(beside(leaks), same, "left_anti").select(docs.columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
