@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scoring import score, scores
+from ..functions.scoring import METRICS, row_scores, score, scores
 from ..plans.filters import Expr, parse, to_column
 
 #: Bytes of query vectors that are broadcast at once; more queries go in blocks of that size.
@@ -65,6 +65,32 @@ def scored(rows: DataFrame, query: Sequence[float], metric: str = "COSINE", thre
     return out.where(F.col("score") >= low) if low > 0 else out
 
 
+def fitting(rows: DataFrame, dimension: int, vector: str = "vector") -> DataFrame:
+    """Rows whose vector has the dimension and no nulls; others have no score."""
+    return rows.where((F.size(vector) == dimension) & ~F.exists(vector, lambda x: x.isNull()))
+
+
+def nearest(rows: DataFrame, query: Sequence[float], k: int = 10, metric: str = "COSINE", threshold: float = 0.0, rerank_floor: float = 0.0) -> DataFrame:
+    """id, segment_id, ordinal and score of the k best: scored in Arrow batches, of which each passes on its k best (and their ties)."""
+    low, q = max(threshold, rerank_floor), np.asarray(query, dtype=float)
+    shared = rows.sparkSession.sparkContext.broadcast(q)
+    if metric not in METRICS:
+        raise ValueError(f"no such metric: {metric}")
+
+    def best_of(batches):
+        q = shared.value
+        for b in batches:
+            s = row_scores(b.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), len(q)), q, metric)
+            ok = np.flatnonzero(s >= low if low > 0 else ~np.isnan(s))
+            if len(ok) > k:
+                ok = ok[s[ok] >= np.partition(s[ok], len(ok) - k)[len(ok) - k]]
+            at = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(s[ok])], names=["id", "segment_id", "ordinal", "score"])
+
+    hits = fitting(rows, len(q)).select("id", "segment_id", F.col("ordinal").cast("long").alias("ordinal"), "vector").mapInArrow(best_of, "id string, segment_id string, ordinal long, score double")
+    return top_k(hits, k)
+
+
 def top_k(hits: DataFrame, k: int) -> DataFrame:
     """The k best of all segments."""
     return hits.orderBy(*best()).limit(k)
@@ -111,8 +137,7 @@ def enrich(hits: DataFrame, rows: DataFrame) -> DataFrame:
 def search(rows: DataFrame, query: Sequence[float], k: int = 10, metric: str = "COSINE", where: dict | None = None, tombstones: DataFrame | None = None,
            staged: DataFrame | None = None, threshold: float = 0.0, rerank_floor: float = 0.0) -> DataFrame:
     """id, segment_id, ordinal, score and attributes of the k best."""
-    hits = top_k(scored(accepted(rows, where, tombstones, staged), query, metric, threshold, rerank_floor).select("id", "segment_id", "ordinal", "score"), k)
-    return enrich(hits, rows)
+    return enrich(nearest(accepted(rows, where, tombstones, staged), query, k, metric, threshold, rerank_floor), rows)
 
 
 def search_many(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "COSINE", decimals: int = 9) -> DataFrame:
@@ -120,6 +145,7 @@ def search_many(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str =
 
     Blocks of queries are broadcast and multiplied with Arrow batches of vectors; each batch passes on only its k
     best a query, so what is shuffled doesn't grow with the dimension.  Ranks are by the score rounded to ``decimals``.
+    Queries have one dimension; vectors of another, or with nulls, are no hits.
     """
     spark = rows.sparkSession
     out, block, used = None, [], 0
@@ -142,7 +168,7 @@ def search_many(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str =
                     names=["qid", "id", "segment_id", "ordinal", "score"],
                 )
 
-        return rows.select("id", "segment_id", F.col("ordinal").cast("long"), "vector").mapInArrow(multiply, "qid long, id string, segment_id string, ordinal long, score double")
+        return fitting(rows, len(block[0][1])).select("id", "segment_id", F.col("ordinal").cast("long"), "vector").mapInArrow(multiply, "qid long, id string, segment_id string, ordinal long, score double")
 
     for r in queries.select("qid", "vector").toLocalIterator():
         block.append((r["qid"], r["vector"]))

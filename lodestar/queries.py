@@ -90,7 +90,7 @@ def _knn(where: dict | None = None, metric: str = "COSINE", deletes: tuple[bool,
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = collection(spark, d, again)
         keep = accepted(rows, where, persisted(rows) if deletes[0] else None, staged(rows) if deletes[1] else None)
-        return _out(top_k(scored(keep, query_vector(spark, d), metric, **more), K))
+        return _out(search.nearest(keep, query_vector(spark, d), K, metric, **more))
 
     return run
 
@@ -128,8 +128,8 @@ for _name, _where in TUNED.items():
 _add("knn_merge", _knn(deletes=(True, True)), _knn_sql(f"{_DEAD} AND {_HELD}"))
 _add("knn_staged_delete", _knn(deletes=(False, True)), _knn_sql(_HELD))
 _add("knn_persisted_delete", _knn(deletes=(True, False)), _knn_sql(_DEAD))
-_add("knn_threshold", _knn(threshold=0.62), _knn_sql(least=0.62))
-_add("knn_rerank_floor", _knn({"region": "us"}, rerank_floor=0.6), _knn_sql("region IS NOT DISTINCT FROM 'us'", least=0.6))
+_add("knn_threshold", _knn(threshold=0.67), _knn_sql(least=0.67))
+_add("knn_rerank_floor", _knn({"region": "us"}, rerank_floor=0.65), _knn_sql("region IS NOT DISTINCT FROM 'us'", least=0.65))
 
 
 @_def(f"{BASE} SELECT {_OUT}, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY segment_id {_ORDER}) AS rank FROM (SELECT *, {SCORE['COSINE']} AS score FROM v, one)) WHERE rank <= {K}")
@@ -141,7 +141,7 @@ def knn_per_segment(spark: SparkSession, d: str) -> DataFrame:
 @_def(f"{BASE}, hits AS (SELECT *, {SCORE['COSINE']} AS score FROM v, one {_ORDER} LIMIT {K}) SELECT {_OUT}, category, region FROM hits")
 def knn_enrich(spark: SparkSession, d: str) -> DataFrame:
     rows = collection(spark, d)
-    hits = enrich(top_k(scored(rows, query_vector(spark, d)).select("id", "segment_id", "ordinal", "score"), K), rows)
+    hits = enrich(search.nearest(rows, query_vector(spark, d), K), rows)
     return hits.select("id", "segment_id", "ordinal", F.round("score", 6).alias("score"), F.col("attributes")["category"].alias("category"), F.col("attributes")["region"].alias("region"))
 
 
@@ -374,7 +374,8 @@ def retention_buckets(spark: SparkSession, d: str) -> DataFrame:
     return catalog.expired_buckets(_buckets(spark), _indexes(spark), F.lit(_BEFORE)).select("bucket_id")
 
 
-@_def("SELECT * FROM (VALUES ('b1/y', 'drifted'), ('b2/x', 'drifted'), ('b3/x', 'unreadable'), ('b3/y', 'drifted')) t(index_id, state)")
+@_def(f"""{_CATALOG}, s AS (SELECT index_id, CASE WHEN NOT json_valid(engine_params) THEN 'unreadable' WHEN coalesce(CAST(json_extract(engine_params, '$.m') AS INTEGER), 16) <> 16
+  OR coalesce(CAST(json_extract(engine_params, '$.addHierarchy') AS BOOLEAN), false) THEN 'drifted' END AS state FROM i) SELECT index_id, state FROM s WHERE state IS NOT NULL""")
 def params_drift(spark: SparkSession, d: str) -> DataFrame:
     return catalog.params_drift(_indexes(spark))
 

@@ -74,6 +74,15 @@ class Files:
         finally:
             stream.close()
 
+    def write_once(self, p: str, value: dict) -> bool:
+        """Write aside, then rename: readers see all of the file or none, and of two writers one is told that it lost."""
+        aside = f"{p}.{uuid.uuid4().hex}.tmp"
+        self.write(aside, value, over=False)
+        done = not self.exists(p) and self.fs.rename(self._path(aside), self._path(p))
+        if not done:
+            self.delete(aside)
+        return done
+
     def names(self, p: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(p))) if self.exists(p) else []
 
@@ -239,6 +248,7 @@ class Index:
     row: dict
     buffer: list[DataFrame] = field(default_factory=list)
     cached: dict[str, DataFrame] = field(default_factory=dict)
+    sizes: list[int] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.spark, self.files = self.store.spark, self.store.files
@@ -264,10 +274,12 @@ class Index:
         if bad:
             raise search.DimensionMismatch(f"{bad} vectors aren't of {self.row['dimension']} dimensions or have no id")
         self.buffer.append(rows)
+        self.sizes.append(size)
         return {"accepted": size, "buffer_size": self.pending()}
 
     def pending(self) -> int:
-        return sum(x.count() for x in self.buffer)
+        """Vectors put since the last commit, by counters of the puts."""
+        return sum(self.sizes)
 
     def delete(self, ids: list[str] | DataFrame) -> None:
         """Stage ids; they are hidden at once and everywhere, known or not."""
@@ -281,6 +293,7 @@ class Index:
 
     def clear(self) -> None:
         self.buffer.clear()
+        self.sizes.clear()
         self.files.delete(f"{self.base}/staged")
 
     def commit(self, promote: Sequence[str] = (), batch: int | None = None, fail: Callable[[str], None] = lambda phase: None) -> dict[str, Any]:
@@ -288,7 +301,7 @@ class Index:
 
         A commit that fails loses the buffer and keeps the staged deletes.  Keys in ``promote`` also become columns.
         """
-        taken, self.buffer = self.buffer, []
+        taken, self.buffer, self.sizes = self.buffer, [], []
         if not taken:
             raise EmptyCommit
         last = self.manifest() or {"version": 0, "segments": [], "tombstones": []}
@@ -313,8 +326,9 @@ class Index:
             tombstones.append(new)
             fail("tombstones")
         fail("catalog")
-        made = {"version": last["version"] + 1, "segments": segments, "tombstones": tombstones, "created_at": now(), "batch": batch}
-        self.files.write(f"{self.base}/manifests/{made['version']:012d}.json", made, over=False)
+        made = {"version": last["version"] + 1, "segments": segments, "tombstones": tombstones, "created_at": now(), "batch": last.get("batch") if batch is None else batch}
+        if not self.files.write_once(f"{self.base}/manifests/{made['version']:012d}.json", made):
+            raise StoreError(409, "commit_conflict", str(made["version"]))
         for x in staged:
             self.files.delete(x)
         return {"segment_id": new, "vector_count": segments[-1]["vector_count"], "bytes": segments[-1]["bytes"], "manifest_version": made["version"], "committed_at": made["created_at"]}
@@ -323,7 +337,7 @@ class Index:
 
     def manifest(self, version: int | None = None) -> dict | None:
         """The latest manifest, or an older one: segments aren't changed, so old versions stay readable."""
-        names = self.files.names(f"{self.base}/manifests")
+        names = [x for x in self.files.names(f"{self.base}/manifests") if x.endswith(".json")]
         name = names[-1] if version is None and names else f"{version or 0:012d}.json"
         return self.files.read(f"{self.base}/manifests/{name}") if name in names else None
 
@@ -342,7 +356,8 @@ class Index:
     def rows(self, version: int | None = None) -> DataFrame:
         """All vectors of the manifest's segments: one scan of just these paths."""
         m = self.manifest(version)
-        return self._read(m["segments"] if m else [])
+        held = self.cached.get(str(m["version"])) if m else None
+        return held if held is not None else self._read(m["segments"] if m else [])
 
     def tombstones(self, manifest: dict | None = None) -> DataFrame | None:
         m = manifest or self.manifest()
@@ -363,8 +378,8 @@ class Index:
             rows_where = rows.where(to_column(e, lambda key: F.col(f"`attr_{key}`") if f"attr_{key}" in have else F.col("attributes")[key]))
         else:
             rows_where = rows
-        hits = search.scored(search.accepted(rows_where, None, self.tombstones(), self.staged()), vector, self.row["metric"], threshold, rerank_floor)
-        return search.enrich(search.top_k(hits.select("id", "segment_id", "ordinal", "score"), k), rows)
+        hits = search.nearest(search.accepted(rows_where, None, self.tombstones(), self.staged()), vector, k, self.row["metric"], threshold, rerank_floor)
+        return search.enrich(hits, rows)
 
     def get(self, wanted: str) -> dict[str, Any]:
         r = lookup.get(self.rows(), [wanted], self.tombstones(), self.staged()).head()
@@ -384,12 +399,13 @@ class Index:
         return {s["id"]: choose(e, known.get(s["id"], set())) for s in (self.manifest() or {"segments": []})["segments"]}
 
     def cache(self, policy: str) -> None:
-        """RESIDENT keeps the active rows in memory, SMART and MINIMAL let Spark's own caching be."""
+        """RESIDENT keeps the rows of the present manifest in memory, which queries read until the next commit; SMART and MINIMAL let Spark's own caching be."""
         for x in self.cached.values():
             x.unpersist()
         self.cached.clear()
-        if policy == "RESIDENT":
-            self.cached["rows"] = self.rows().persist()
+        m = self.manifest()
+        if policy == "RESIDENT" and m:
+            self.cached[str(m["version"])] = self._read(m["segments"]).persist()
 
 
 @dataclass(frozen=True)

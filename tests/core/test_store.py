@@ -152,3 +152,50 @@ def test_stream(spark, index, tmp_path):
     assert index.manifest()["version"] == 2 and shown(index) == 0 and shown(index, "z") == 1
     apply_batch(index, spark.read.parquet(f"{tmp_path}/ops"), 1)  # run again: nothing happens
     assert index.manifest()["version"] == 2
+
+
+def test_replay_after_a_manual_commit(spark, tmp_path):
+    """A batch that runs again is known as done, whatever was committed in between."""
+    from lodestar.streaming.ingest import OPERATIONS, apply_batch
+
+    store = Store(spark, f"file://{tmp_path}/replay")
+    store.create_bucket("b")
+    store.create_index("b", "i", 2, "COSINE")
+    index = store.index("b", "i")
+    batch = spark.createDataFrame([("put", "x", [1.0, 0.0], None)], OPERATIONS)
+    apply_batch(index, batch, 5)
+    index.put([("y", [0.0, 1.0], None)])
+    index.commit()
+    apply_batch(index, batch, 5)
+    assert index.stats()["vector_count"] == 2
+
+
+def test_resident_rows_are_read(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/resident")
+    store.create_bucket("b")
+    store.create_index("b", "i", 2, "COSINE")
+    index = store.index("b", "i")
+    index.put([("x", [1.0, 0.0], {"a": "1"})])
+    index.commit()
+    index.cache("RESIDENT")
+    plan = index.query([1.0, 0.0], 1)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan
+    index.put([("y", [0.0, 1.0], None)])
+    index.commit()
+    assert {r["id"] for r in index.query([1.0, 0.0], 5).collect()} == {"x", "y"}
+    index.cache("MINIMAL")
+
+
+def test_lost_race_is_told(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/race")
+    assert store.files.write_once(f"{tmp_path}/race/m/1.json", {"a": 1}) and not store.files.write_once(f"{tmp_path}/race/m/1.json", {"a": 2})
+    assert store.files.read(f"{tmp_path}/race/m/1.json") == {"a": 1} and store.files.names(f"{tmp_path}/race/m") == ["1.json"]
+
+
+def test_ragged_and_null_vectors(spark):
+    from lodestar.operators.search import nearest, search_many
+
+    rows = spark.createDataFrame([("a", "s", 0, [1.0, 0.0]), ("b", "s", 1, [1.0, 0.0, 0.0]), ("c", "s", 2, [1.0]), ("d", "s", 3, None), ("e", "s", 4, [None, 1.0]), ("f", "s", 5, [0.0, 0.0])], "id string, segment_id string, ordinal long, vector array<float>")
+    assert [r["id"] for r in nearest(rows, [1.0, 0.0], 5).collect()] == ["a"]
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vector array<float>")
+    assert [r["id"] for r in search_many(rows, queries, 5).where("score is not null").collect()] == ["a"]
