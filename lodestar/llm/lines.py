@@ -9,8 +9,10 @@ segments under (length, segment, bytes), probes for those of lines as long or
 up to EDITS shorter at the few places where they can stand, and what meets is
 verified by edit distance in bit-parallel bands, many pairs side by side.
 
-Of a segment that more than ``ALL_PAIRS`` lines meet in (lines that differ in
-a number, say), neighbours by the rest of the line are verified first.  Where
+Of a segment that more than ``ALL_PAIRS`` lines meet in, as short segments do
+by chance in a large corpus, all pairs are still looked at where their bytes
+rule most of them out.  Where they don't (lines that differ in a number, say),
+neighbours by the rest of the line are verified first.  Where
 that doesn't connect them all, the rest is cut into segments in its turn, and
 lines that aren't connected yet meet at those, until few meet at one.
 
@@ -31,14 +33,18 @@ from pyspark.sql import functions as F
 
 from . import jaccard
 from .blocks import Block, block_of, blocks, mix, span_hash
-from .common import beside, cut, keep, lean, scratch, semi, table, tidy, trim
+from .common import beside, cut, keep, lean, scratch, semi, small, table, tidy, trim
 from .runs import FINE, bucket_count, cells, components, groups, pack, send, spread_pairs, unique_pairs, unpack
 
 EDITS = 2
 #: Bytes of a line for each edit that it may differ in.
 EDIT_BYTES = 10
-#: Lines of one segment up to which all pairs are looked at; how often the rest of more is cut again.
+#: Lines of one segment up to which all pairs are verified that their bytes allow; how often the rest of more is cut again.
 ALL_PAIRS, DEPTH = 256, 6
+#: Lines of one segment up to which it is tried whether their bytes allow few pairs; pairs looked at in one step.
+TRIED, STEP = 8192, 300_000
+#: Lines up to which their documents are broadcast to get their texts, and bits of the filter that does so for more.
+FEW_TEXTS, FILTER_BITS = 200_000, 27
 ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("bag", "<u4"), ("role", "u1")])
 OFFERS, PROBES = 1, 2
 
@@ -141,7 +147,7 @@ def _pairs(rows: np.ndarray, starts: np.ndarray, size: np.ndarray, k: int) -> It
     for g in np.unique(size):
         at = starts[size == g]
         i, j = np.triu_indices(int(g), 1)
-        step = max(1, 300_000 // len(i))
+        step = max(1, STEP // len(i))
         for s in range(0, len(at), step):
             x, y = rows[(at[s : s + step, None] + i).ravel()], rows[(at[s : s + step, None] + j).ravel()]
             role = ((x["role"] & OFFERS) & (y["role"] >> 1)) | ((y["role"] & OFFERS) & (x["role"] >> 1))
@@ -149,6 +155,26 @@ def _pairs(rows: np.ndarray, starts: np.ndarray, size: np.ndarray, k: int) -> It
             yield x["id"][ok], y["id"][ok]
 
 
+def _few_pairs(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs of one group that the roles and bags allow, or None if they are more than ALL_PAIRS lines have or ALL_PAIRS / 4 a line."""
+    most, n = max(ALL_PAIRS * (ALL_PAIRS - 1) // 2, len(rows) * ALL_PAIRS // 4), 0
+    ids, bag, offers = rows["id"], np.ascontiguousarray(rows["bag"]), (rows["role"] & OFFERS) > 0
+    probes, own, a, b = (rows["role"] & PROBES) > 0, np.flatnonzero(offers), [], []
+    step = max(1, STEP // len(rows))
+    for s in range(0, len(own), step):
+        x = own[s : s + step]
+        # A pair in which both sides offer and probe comes once.
+        i, j = np.nonzero(probes & ~(offers & probes[x, None] & (np.arange(len(rows)) <= x[:, None])) & (np.arange(len(rows)) != x[:, None]))
+        i = x[i]
+        ok = bags_within(bag[i], bag[j], k)
+        a.append(ids[i[ok]]), b.append(ids[j[ok]])
+        n += len(a[-1])
+        if n > most:
+            return None
+    a, b = np.concatenate([ids[:0], *a]), np.concatenate([ids[:0], *b])
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def close(a: list[bytes], b: list[bytes], k: int) -> np.ndarray:
     """Whether the pairs are within k edits: bit-vectors of a band of 2k + 1 diagonals, all pairs a step at a time."""
     out = np.zeros(len(a), dtype=bool)
@@ -297,7 +323,7 @@ def _cell_pairs(k: int):
         cell = np.cumsum(np.append(False, (c["key"][1:] != c["key"][:-1]) | (c["x"][1:] != c["x"][:-1]) | (c["y"][1:] != c["y"][:-1])))
         bag = c["bag"].astype(np.uint32)
         found = []
-        for i, j in spread_pairs(np.arange(len(cell)) + 1, np.searchsorted(cell, cell, side="right")):
+        for i, j in spread_pairs(np.arange(len(cell)) + 1, np.searchsorted(cell, cell, side="right"), STEP):
             ok = (c["root"][i] != c["root"][j]) & ((c["x"][i] == c["y"][i]) | (c["own"][i] != c["own"][j]))
             i, j = i[ok], j[ok]
             ok = bags_within(bag[i], bag[j], k)
@@ -305,8 +331,10 @@ def _cell_pairs(k: int):
             found.append(unique_pairs(np.minimum(a, b), np.maximum(a, b)))
         if found:
             a, b = unique_pairs(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+            del found, got, c
             for i in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["a", "b"])
+        trim()
 
     return f
 
@@ -324,6 +352,33 @@ def _verified(pairs: DataFrame, of: DataFrame, k: int) -> DataFrame:
     return cut(both.select("a", "b", "x", "y").mapInArrow(f, "a long, b long"))
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """lid and line of the wanted lids, which are many: the documents stay where they are, lines that a filter of bits lets pass are joined; a table read back from disk."""
+    mask = (1 << FILTER_BITS) - 1
+    at = wanted.select(F.col("lid").bitwiseAND(F.lit(mask).cast("long")).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def f(batches):
+        bits, seen = shared.value, np.zeros(0, np.int64)
+        for b in batches:
+            for block in blocks(b.column(0)):
+                starts, ends, _, _, lid = hashed_lines(block)
+                own, first = np.unique(lid, return_index=True)
+                slot = own & mask
+                ok = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0) & (ends[first] - starts[first] >= EDIT_BYTES)
+                own, first = own[ok], first[ok]
+                new = ~np.isin(own, seen, assume_unique=True)
+                own, first, seen = own[new], first[new], np.union1d(seen, own)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([block.data[s:e].tobytes() for s, e in zip(starts[first], ends[first])], type=pa.binary())], names=["lid", "line"])
+        trim()
+
+    out = cut(semi(docs.select("text").mapInArrow(f, "lid long, line binary"), wanted, "lid").dropDuplicates(["lid"]))
+    shared.destroy()
+    return out
+
+
 def _connected(near: DataFrame, large: DataFrame, of: DataFrame, k: int) -> DataFrame:
     """near and what it takes to connect all close pairs of the large segments' rows (key, id)."""
     lines_of = of.select(F.col("lid").alias("id"), "line")
@@ -376,7 +431,7 @@ def repeated_lines(docs: DataFrame, k: int = EDITS) -> DataFrame:
     def offer(batches):
         seen = np.zeros(0, np.int64)
         for b in batches:
-            for block in blocks(b.column(1), 2 << 20):
+            for block in blocks(b.column(1), (2 << 20) - 1):
                 starts, ends, _, _, lid = hashed_lines(block)
                 own, at = np.unique(lid, return_index=True)
                 new = ~np.isin(own, seen, assume_unique=True) & (ends[at] - starts[at] >= EDIT_BYTES)
@@ -394,6 +449,10 @@ def repeated_lines(docs: DataFrame, k: int = EDITS) -> DataFrame:
         rows, starts, size = groups(rows)
         few = size <= ALL_PAIRS
         parts = [p for p in _pairs(rows, starts[few], size[few], k) if len(p[0])]
+        for i in np.flatnonzero((size > ALL_PAIRS) & (size <= TRIED)):
+            if (got := _few_pairs(rows[starts[i] : starts[i] + size[i]], k)) is not None:
+                parts.append(got)
+                few[i] = True
         large = rows[np.repeat(~few, size)]
         if parts:
             a, b = unique_pairs(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]))
@@ -427,10 +486,13 @@ def repeated_lines(docs: DataFrame, k: int = EDITS) -> DataFrame:
         large = met.where("b is null").select("key", F.col("a").alias("id"))
         at = F.struct(*OCCURRENCE)
         first = found.groupBy("lid").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-        # The texts of the lines that met, each from its first document.
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).union(large.select("id")).distinct()
-        wanted = cut(semi(first, wanted, "lid").groupBy("first.doc_id", "first.text_hash").agg(F.collect_list("lid").alias("lids")))
-        of = cut(docs.join(beside(wanted), ["doc_id", "text_hash"]).select("text", "lids").mapInArrow(fetch, "lid long, line binary").dropDuplicates(["lid"]))
+        # The texts of the lines that met, each from its first document if they are few.
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("lid")).union(large.select("id")).distinct())
+        if small(wanted, FEW_TEXTS):
+            wanted = cut(semi(first, wanted, "lid").groupBy("first.doc_id", "first.text_hash").agg(F.collect_list("lid").alias("lids")))
+            of = cut(docs.join(beside(wanted), ["doc_id", "text_hash"]).select("text", "lids").mapInArrow(fetch, "lid long, line binary").dropDuplicates(["lid"]))
+        else:
+            of = _texts(docs, wanted)
         near = _verified(pairs, of, k)
         if large.limit(1).count():
             near = _connected(near, large, of, k)

@@ -92,6 +92,31 @@ def test_lines_that_differ_in_a_number(make, monkeypatch):
     assert found(L.repeated_lines(make(rows))) == want
 
 
+def chance(n, planted):
+    """Lines that have eight bytes in common and nothing else, but for planted ones one or two edits from another."""
+    r = random.Random(12)
+    word = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    rows = ["the road" + word(16) for _ in range(n)]
+    return [(i, x) for i, x in enumerate(rows)] + [(n + i, rows[i * 7][:12] + "0" + rows[i * 7][13 + i % 2 :]) for i in range(planted)]
+
+
+def test_many_lines_that_meet_by_chance(make, monkeypatch):
+    """Over ALL_PAIRS lines of one short segment that have nothing else in common aren't cut again and again."""
+    monkeypatch.setattr(L, "_connected", None)
+    rows = chance(700, 40)
+    assert len(rows) > 2 * L.ALL_PAIRS
+    assert found(L.repeated_lines(make(rows))) == {(700 + i, 0, i * 7, 0) for i in range(40)}
+
+
+def test_texts_of_many_lines(make, monkeypatch):
+    """Beyond FEW_TEXTS lines their texts come by the filter of bits, full or not, with the same result."""
+    want = brute(sample(3))
+    monkeypatch.setattr(L, "FEW_TEXTS", 0)
+    for bits in (27, 3):
+        monkeypatch.setattr(L, "FILTER_BITS", bits)
+        assert len(want) > 10 and found(L.repeated_lines(make(sample(3)))) == want
+
+
 def test_texts_that_share_a_doc_id(spark, make):
     boiler = "this line of boilerplate stands in many documents"
     rows = [(1, boiler), (7, "some words of the first text\n" + boiler + "\n" + "that are its own " * 9), (7, "a first line of the other text\nand a second line that is nowhere else\n" + "more of it " * 9)]
