@@ -43,6 +43,8 @@ EDIT_BYTES = 10
 ALL_PAIRS, DEPTH = 256, 6
 #: Lines of one segment up to which it is tried whether their bytes allow few pairs; pairs looked at in one step.
 TRIED, STEP = 8192, 300_000
+#: Pairs that are verified side by side, and bytes that these have at most as all are padded to the longest.
+SIDE_BY_SIDE, PADDED = 4096, 4 << 20
 #: Lines up to which their documents are broadcast to get their texts, and bits of the filter that does so for more.
 FEW_TEXTS, FILTER_BITS = 200_000, 27
 ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("bag", "<u4"), ("role", "u1")])
@@ -178,9 +180,15 @@ def _few_pairs(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None
 def close(a: list[bytes], b: list[bytes], k: int) -> np.ndarray:
     """Whether the pairs are within k edits: bit-vectors of a band of 2k + 1 diagonals, all pairs a step at a time."""
     out = np.zeros(len(a), dtype=bool)
-    order = sorted(range(len(a)), key=lambda i: len(b[i]))
-    for s in range(0, len(order), 4096):
-        own = order[s : s + 4096]
+    longest = np.array([max(len(x), len(y)) for x, y in zip(a, b)], dtype=np.int64)
+    order = np.argsort(longest, kind="stable")
+    s = 0
+    while s < len(order):
+        own = order[s : s + SIDE_BY_SIDE]
+        fit = np.searchsorted(longest[own] * np.arange(1, len(own) + 1), PADDED, side="right")
+        own = own[: max(1, int(fit))]
+        s += len(own)
+        own = own.tolist()
         m, n = np.array([len(a[i]) for i in own]), np.array([len(b[i]) for i in own])
         width = int(max(m.max(), n.max())) + 2 * k + 1
         # Column k + i holds byte i, so that the band never leaves the array; 0 and 1 meet nothing.
@@ -264,6 +272,7 @@ def _rests(k: int):
                         ok[here] = np.isin(key[here], wanted[a:z])
                     own, key, lo, hi = own[ok], key[ok], lo[ok], hi[ok]
                     yield _level([key, ids[own], lo - first[own], hi - first[own], np.full(len(own), edits), bag[own]])
+        trim()
 
     return f
 
@@ -277,6 +286,7 @@ def _again(k: int):
             block, first = _joined([x.as_py() for x in b.column(6)])
             for own, sub, _, a, z, rest in segments(block.prefix_hash(block.data), first + lo, first + hi, edits, k):
                 yield _level([mix(key[own].view(np.uint64) ^ mix(sub)).view(np.int64), ids[own], a - first[own], z - first[own], np.full(len(own), rest), bag[own]])
+        trim()
 
     return f
 

@@ -15,14 +15,13 @@ lowest hash first); every document is measured and scored on its whole text.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, block_of, blocks, per_text
-from .common import table
+from .common import table, trim
 
 RULES = ["upper", "symbol", "bar", "digit", "repeat", "word_length", "line_repeat", "space"]
 #: Pseudo-counts: a text's statistic counts as if so much usual text were added.
@@ -252,10 +251,11 @@ def keep_column(spark: SparkSession, model: QualityModel) -> Column:
     """The decision as a column of the row itself, for filters that pass all other columns through."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def keep(text: pd.Series, lang: pd.Series) -> pd.Series:
-        langs = [x if isinstance(x, str) else None for x in lang]
-        return pd.Series(shared.value.judge(pa.array(text, type=pa.string(), from_pandas=True), langs)[2])
+    @F.arrow_udf("boolean")
+    def keep(text: pa.Array, lang: pa.Array) -> pa.Array:
+        out = pa.array(shared.value.judge(text, lang.to_pylist())[2])
+        trim()
+        return out
 
     return keep(F.col("text"), F.col("lang"))
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -32,6 +33,18 @@ def test_bands(a, edits, k):
     assert L.close([a], [bytes(b)], k)[0] == (distance(a, bytes(b)) <= k)
 
 
+def test_one_long_line_among_many():
+    """Pairs that are verified side by side aren't all padded to a very long one."""
+    r = random.Random(13)
+    lines = [bytes(r.choices(b"abcdefgh ", k=r.randint(20, 60))) for _ in range(4000)] + [bytes(r.choices(b"abcdefgh ", k=30_000))]
+    a, b = lines * 2, [x[:5] + b"z" + x[6:] for x in lines] + [x[:3] + b"zzz" + x[6:9] + x[10:] for x in lines]
+    tracemalloc.start()
+    got = L.close(a, b, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [True] * 4001 + [False] * 4001 and peak < 100 << 20
+
+
 def within(x, y, k=L.EDITS):
     if x == y:
         return True
