@@ -8,8 +8,9 @@ threshold is calibrated on the labelled rows by language: it keeps at least
 ``keep_rate`` of the good ones and lies in the middle between the highest
 score that they need and the lowest score of a bad one above it.
 
-Only the forest and threshold use a sample (``fit_rows`` labelled rows,
-lowest hash first); every document is measured and scored on its whole text.
+Limits, rules and thresholds come from all labelled rows, and each tree draws
+its rows from all of them, as an isolation forest does; every document is
+measured and scored on its whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, block_of, blocks, per_text
-from .common import table, trim
+from .common import beside, cut, scratch, semi, small, table, trim
 
 RULES = ["upper", "symbol", "bar", "digit", "repeat", "word_length", "line_repeat", "space"]
 #: Pseudo-counts: a text's statistic counts as if so much usual text were added.
@@ -97,7 +98,8 @@ class Forest:
         """Mean path of an unsuccessful search among n points."""
         return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    def fit(self, x: np.ndarray) -> Forest:
+    def fit(self, x: np.ndarray, apart: bool = False) -> Forest:
+        """Each tree grows on ``sample`` rows of x at random; apart: on the next ``sample`` ones, as x is in random order."""
         rng = np.random.default_rng(self.seed)
         feature, split, left, right, path, roots = [], [], [], [], [], []
         n = min(self.sample, len(x))
@@ -117,8 +119,9 @@ class Forest:
                     right[at] = grow(rows[rows[:, f] >= s], depth + 1)
             return at
 
-        for _ in range(self.trees):
-            roots.append(grow(x[rng.choice(len(x), n, replace=False)], 0) if n else grow(x, 0))
+        for t in range(self.trees):
+            rows = x[t * n : t * n + n] if apart else x[rng.choice(len(x), n, replace=False)] if n else x
+            roots.append(grow(rows, 0))
         self.feature, self.split = np.array(feature), np.array(split)
         self.left, self.right, self.path = np.array(left), np.array(right), np.array(path)
         self.roots, self.depth, self.norm = np.array(roots), deepest, max(self.usual_path(n), 1e-9)
@@ -164,67 +167,121 @@ def excess(stats: np.ndarray, rules: list[int], limits: np.ndarray) -> np.ndarra
     return np.maximum(0.0, stats[:, rules] - limits[rules])
 
 
-def choose_rules(stats: np.ndarray, good: np.ndarray, usual_rate: float = 0.997, least_share: float = 0.02) -> tuple[list[int], np.ndarray]:
+def ranked(values: DataFrame, ranks: dict[str, list[int]]) -> dict[str, list[float]]:
+    """Of each key the values of some ranks (0 is the least), exactly; values: rows of key and value, none negative.
+
+    Doubles that aren't negative are in the order of their bits, so these are counted 16 at a time, from the highest
+    ones down, among the values that share the bits found so far.
+    """
+    found = {k: [(0, r) for r in own] for k, own in ranks.items()}
+    for shift in (48, 32, 16, 0):
+        begun = {k: np.unique([x for x, _ in own]) for k, own in found.items()}
+
+        def count(batches, shift=shift, begun=begun):
+            for b in batches:
+                key, bits = b.column(0).to_pandas(), (b.column(1).to_numpy() + 0.0).view(np.int64)
+                for k, own in begun.items():
+                    x = bits[(key == k).to_numpy()] >> shift
+                    at, n = np.unique(x[np.isin(x >> 16, own)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), type=pa.string()), pa.array(at), pa.array(n)], names=["key", "at", "n"])
+
+        got = values.select("key", "value").mapInArrow(count, "key string, at long, n long").groupBy("key", "at").agg(F.sum("n").alias("n")).toPandas().sort_values("at")
+        for k, own in found.items():
+            at, n = (got.loc[got["key"] == k, c].to_numpy() for c in ("at", "n"))
+            for i, (x, r) in enumerate(own):
+                mine = at >> 16 == x
+                total = np.cumsum(n[mine])
+                j = int(np.searchsorted(total, r, side="right"))
+                own[i] = int(at[mine][j]), r - int(total[j] - n[mine][j])
+    return {k: [float(np.int64(x).view(np.float64)) for x, _ in own] for k, own in found.items()}
+
+
+def choose_rules(rows: DataFrame, n: int, n_good: int, usual_rate: float = 0.997, least_share: float = 0.02) -> tuple[list[int], np.ndarray]:
     """Limits of all rules (a high quantile over good rows) and the rules that at least least_share of bad rows pass."""
-    base = stats[good] if good.any() else stats
-    limits = np.quantile(base, usual_rate, axis=0)
-    passed = (stats[~good] > limits).mean(0) if (~good).any() else np.zeros(stats.shape[1])
-    rules = [k for k in range(stats.shape[1]) if passed[k] >= least_share]
-    return rules or list(range(stats.shape[1])), limits
-
-
-def calibrate(score: np.ndarray, good: np.ndarray, keep_rate: float) -> float:
-    """The cut that keeps keep_rate of the good rows: in the middle between the score that takes and the next bad one above; a score of the cut itself is kept."""
-    if not good.any():
-        return float("inf")
-    floor = float(np.quantile(score[good], keep_rate, method="higher"))
-    bad = np.sort(score[~good])
-    if not len(bad) or bad[-1] <= floor:
-        return float("inf") if not len(bad) else floor
-    # Between the best good score allowed and the lowest bad one above it: the middle of the gap.
-    above = bad[bad > floor]
-    return (floor + float(above[0])) / 2
+    base = rows.where("good > 0") if n_good else rows
+    at = ((n_good or n) - 1) * usual_rate
+    low, part = int(at), at - int(at)
+    values = base.select(F.explode(F.array(*[F.struct(F.lit(r).alias("key"), F.col(r).alias("value")) for r in RULES])).alias("x")).select("x.*")
+    got = ranked(values, {r: [low, min(low + 1, (n_good or n) - 1)] for r in RULES})
+    limits = np.array([a + (b - a) * part if part < 0.5 else b - (b - a) * (1 - part) for a, b in (got[r] for r in RULES)])
+    passed = rows.where("good = 0").agg(*[F.avg((F.col(r) > float(x)).cast("double")) for r, x in zip(RULES, limits)]).head()
+    rules = [k for k in range(len(RULES)) if (passed[k] or 0) >= least_share]
+    return rules or list(range(len(RULES))), limits
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, keep_rate: float = 0.999, least: int = 200, seed: int = 7) -> QualityModel:
-    """Fit on at most fit_rows labelled documents (lowest hash of doc_id first, the bound is this parameter).
+def calibrate(scored: DataFrame, keep_rate: float, least: int) -> tuple[float, dict[str, float]]:
+    """The general cut and those of languages with enough rows, of all rows of lang, good and score.
 
-    Rows with a null doc_id, label or text don't take part.  Without labelled rows every document is kept.
+    A cut keeps keep_rate of the good rows: in the middle between the score that takes and the next bad one above; a score of the cut itself is kept.
     """
-    picked = (
-        labels.select("doc_id", F.col("quality").cast("int").alias("_good")).where("doc_id is not null and _good is not null")
-        .groupBy("doc_id").agg(F.min("_good").alias("_good"))
-        .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows)
-    )
-    rows = docs.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(picked), "doc_id")
+    by = scored.select("good", "score", F.explode(F.array(F.lit("*"), F.concat(F.lit("="), "lang"))).alias("key")).where("key is not null")
+    bad = F.when(F.col("good") == 0, F.col("score"))
+    counts = by.groupBy("key").agg(F.count("*").alias("n"), F.count(bad).alias("bad"), F.max(bad).alias("most")).collect()
+    counts = {x["key"]: x for x in counts if x["key"] == "*" or x["n"] >= least and x["bad"] >= least // 10}
+    ranks = {k: [int(np.ceil((x["n"] - x["bad"] - 1) * keep_rate))] for k, x in counts.items() if x["n"] > x["bad"]}
+    floors = {k: x for k, (x,) in ranked(by.where("good > 0").select("key", F.col("score").alias("value")), ranks).items()}
+    above = {}
+    if floors:
+        floor = by.sparkSession.createDataFrame(list(floors.items()), "key string, floor double")
+        above = {x["key"]: x["above"] for x in by.where("good = 0").join(F.broadcast(floor), "key").where("score > floor").groupBy("key").agg(F.min("score").alias("above")).collect()}
+    # Between the best good score allowed and the lowest bad one above it: the middle of the gap.
+    cuts = {k: float("inf") if k not in floors or not x["bad"] else (floors[k] + above[k]) / 2 if k in above else floors[k] for k, x in counts.items()}
+    return cuts["*"], {k[1:]: x for k, x in cuts.items() if k != "*"}
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and the rule statistics of all documents."""
 
     def measure(batches):
         for b in batches:
             stats = all_statistics(b.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3)] + [pa.array(stats[:, k]) for k in range(len(RULES))],
-                names=["doc_id", "lang", "good", *RULES],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)] + [pa.array(stats[:, k]) for k in range(len(RULES))], names=["doc_id", "lang", *RULES])
+        trim()
+
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    return docs.mapInArrow(measure, "doc_id long, lang string, " + ", ".join(f"{r} double" for r in RULES))
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep_rate: float = 0.999, least: int = 200, seed: int = 7) -> QualityModel:
+    """Fit on all labelled documents.
 
-    got = rows.mapInArrow(measure, "doc_id long, lang string, good int, " + ", ".join(f"{r} double" for r in RULES)).toPandas()
-    got = got.sort_values(["doc_id", *RULES], kind="stable")
-    x, good = got[RULES].to_numpy(dtype=float), got["good"].to_numpy() > 0
-    if not len(x):
-        return QualityModel(None, [], np.zeros(len(RULES)), float("inf"), {})
-    rules, limits = choose_rules(x, good)
-    # Copies of one bad document would hide it in a crowd of its own: of bad rows alike the forest grows on one.
-    over = excess(x, rules, limits)
-    alone = np.zeros(len(x), dtype=bool)
-    alone[np.unique(over, axis=0, return_index=True)[1]] = True
-    forest = Forest(seed=seed).fit(over[good | alone])
-    score = forest.score(excess(x, rules, limits))
-    general = calibrate(score, good, keep_rate)
-    by_lang = {}
-    for lang, part in got.reset_index(drop=True).groupby("lang").groups.items():
-        at = np.asarray(part)
-        if len(at) >= least and (~good[at]).sum() >= least // 10:
-            by_lang[lang] = calibrate(score[at], good[at], keep_rate)
-    return QualityModel(forest, rules, limits, general, by_lang)
+    Rows with a null doc_id, label or text don't take part.  Without labelled rows every document is kept.
+    Trees that together need fewer rows than there are draw them apart: no row is in two of them.
+    """
+    spark = docs.sparkSession
+    picked = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("_good")).where("doc_id is not null and _good is not null")
+        .groupBy("doc_id").agg(F.min("_good").alias("_good")).select("doc_id", (F.col("_good") > 0).cast("int").alias("good"))
+    )
+    docs = docs.select("doc_id", "text", "lang").where("text is not null")
+    with scratch(spark):
+        # Labels that are too many to be broadcast meet the statistics, so that no text is shuffled.
+        rows = cut(measured(semi(docs, picked, "doc_id") if small(picked) else docs).join(beside(picked), "doc_id"))
+        n, n_good = rows.agg(F.count("*"), F.sum("good")).head()
+        if not n:
+            return QualityModel(None, [], np.zeros(len(RULES)), float("inf"), {})
+        rules, limits = choose_rules(rows, n, n_good)
+        names = [RULES[k] for k in rules]
+        over = rows.select("doc_id", "good", *[F.greatest(F.lit(0.0), F.col(RULES[k]) - float(limits[k])).alias(RULES[k]) for k in rules])
+        # Copies of one bad document would hide it in a crowd of its own: of bad rows alike the forest grows on one.
+        alone = over.where("good = 0").groupBy(*names).agg(F.min("doc_id").alias("doc_id"))
+        forest = Forest(seed=seed)
+        most = forest.trees * forest.sample
+        drawn = over.where("good > 0").select("doc_id", *names).unionByName(alone).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", *names).limit(most).toPandas()
+        apart = len(drawn) == most
+        if not apart:
+            drawn = drawn.sort_values(["doc_id", *names], kind="stable")
+        model = QualityModel(forest.fit(drawn[names].to_numpy(dtype=float), apart), rules, limits, 0.0, {})
+        shared = spark.sparkContext.broadcast(model)
+
+        def score(batches):
+            for b in batches:
+                stats = np.column_stack([b.column(2 + k).to_numpy() for k in range(len(RULES))])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.score(stats))], names=["lang", "good", "score"])
+
+        scored = cut(rows.select("lang", "good", *RULES).mapInArrow(score, "lang string, good int, score double"))
+        general, by_lang = calibrate(scored, keep_rate, least)
+    return QualityModel(model.forest, rules, limits, general, by_lang)
 
 
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -48,6 +48,21 @@ def test_forest_paths():
     assert np.allclose(slow, forest.score(x[::50]))
 
 
+def test_quality_fits_on_all_labels(spark, make):
+    """Quantiles are those of all rows; a language whose rows have the highest hashes has its own cut, however many others there are."""
+    r = np.random.default_rng(3)
+    values = np.concatenate([r.random(5000), np.zeros(300), r.random(200) * 1e-9])
+    got = quality.ranked(spark.createDataFrame([("a", float(x)) for x in values] + [("b", 2.5)], "key string, value double"), {"a": [0, 299, 3000, 5499], "b": [0]})
+    assert got == {"a": [float(np.sort(values)[k]) for k in (0, 299, 3000, 5499)], "b": [2.5]}
+    n = 24_000
+    docs = spark.range(n).selectExpr("id doc_id", "'a few plain words number ' || case when id % 9 = 0 then '|||| #### $$$$ |||| ' || id else 'of prose' end text", "'l' || id % 2 lang")
+    order = [x[0] for x in docs.selectExpr("doc_id", "xxhash64(doc_id, 7) h").orderBy("h").select("doc_id").collect()]
+    last = spark.createDataFrame([(x,) for x in order[20_000:]], "doc_id long")
+    docs = docs.join(last.selectExpr("doc_id", "'rare' other"), "doc_id", "left").selectExpr("doc_id", "text", "coalesce(other, lang) lang")
+    model = quality.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 9 <> 0) quality"))
+    assert set(model.by_lang) == {"l0", "l1", "rare"}
+
+
 def test_quality_odd(spark, make, odd):
     docs = make([*odd, *[(100 + i, f"plain words of number {i} go here and there") for i in range(40)], *[(200 + i, "### $$$ %%% AAA ### $$$ BBB") for i in range(40)]], clash=True)
     marks = labels(spark, [(100 + i, 1, 0) for i in range(40)] + [(200 + i, 0, 0) for i in range(40)] + [(None, 1, 0), (100, None, 0)])
