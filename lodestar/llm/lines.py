@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import jaccard
 from .blocks import Block, block_of, blocks, mix, span_hash
 from .common import beside, cut, keep, lean, scratch, semi, small, table, tidy, trim
-from .runs import FINE, bucket_count, cells, components, groups, pack, send, spread_pairs, unique_pairs, unpack
+from .runs import FINE, bucket_count, cells, components, groups, parcels, send, spread_pairs, unique_pairs, unpack
 
 EDITS = 2
 #: Bytes of a line for each edit that it may differ in.
@@ -446,7 +446,7 @@ def repeated_lines(docs: DataFrame, k: int = EDITS) -> DataFrame:
                 own, at = np.unique(lid, return_index=True)
                 new = ~np.isin(own, seen, assume_unique=True) & (ends[at] - starts[at] >= EDIT_BYTES)
                 at, seen = at[new], np.union1d(seen, own[new])
-                yield pack(index_rows(block, starts[at], ends[at], lid[at], k), tasks * FINE)
+                yield from parcels(index_rows(block, starts[at], ends[at], lid[at], k), tasks * FINE)
         trim()
 
     def meet(batches):
@@ -504,6 +504,7 @@ def repeated_lines(docs: DataFrame, k: int = EDITS) -> DataFrame:
         else:
             of = _texts(docs, wanted)
         near = _verified(pairs, of, k)
+        tidy(spark)
         if large.limit(1).count():
             near = _connected(near, large, of, k)
         roots = components(near)

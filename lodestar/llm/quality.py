@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, block_of, blocks, per_text
-from .common import beside, cut, scratch, semi, small, table, trim
+from .common import beside, cut, keep, lean, scratch, semi, small, table, trim
 
 RULES = ["upper", "symbol", "bar", "digit", "repeat", "word_length", "line_repeat", "space"]
 #: Pseudo-counts: a text's statistic counts as if so much usual text were added.
@@ -317,6 +317,26 @@ def keep_column(spark: SparkSession, model: QualityModel) -> Column:
     return keep(F.col("text"), F.col("lang"))
 
 
+def rejected(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """Hash and bytes of the texts, with their languages, that the model rejects: __lodestar_hash, __lodestar_size."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches):
+        for b in batches:
+            out = pa.array(~shared.value.judge(b.column(0), b.column(1).to_pylist())[2])
+            yield pa.RecordBatch.from_arrays([b.column(2).filter(out), b.column(3).filter(out)], names=["__lodestar_hash", "__lodestar_size"])
+        trim()
+
+    rows = docs.where("text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), *_identity())
+    return rows.mapInArrow(judge, "__lodestar_hash long, __lodestar_size int").distinct()
+
+
+def _identity() -> list[Column]:
+    """What tells rows of another text or language apart."""
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    return [F.xxhash64(text, lang, lang.isNull()).alias("__lodestar_hash"), F.octet_length(text).alias("__lodestar_size")]
+
+
 def op1_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, anomaly and decision of all documents; rows as score_documents says."""
     docs = table(spark, sf_dir, "documents")
@@ -328,4 +348,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts stay, rows that repeat share a decision, an anomaly equal to the cut is kept.
     """
-    return docs.where(keep_column(spark, fit(docs, table(spark, sf_dir, "labels"))))
+    with scratch(spark), lean(spark):
+        out = keep(rejected(docs, fit(docs, table(spark, sf_dir, "labels"))))
+    same = [x == F.col(c) for x, c in zip(_identity(), out.columns)]
+    return docs.join(beside(out), same, "left_anti").select(docs.columns)
