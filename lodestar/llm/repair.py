@@ -39,7 +39,9 @@ def encoder_of(vocabulary: bytes):
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # Texts that contain it are ordinary; but where there is no special token, tiktoken looks for one at every character.
+    special = {"<|endoftext|>": max(ranks.values()) + 1}
+    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 @lru_cache(maxsize=2)
@@ -54,6 +56,10 @@ def tokens(texts: pa.Array, enc) -> list[np.ndarray]:
     return [enc.encode_to_numpy(x, disallowed_special=()) if x else none for x in texts.to_pylist()]
 
 
+def _slots(code: np.ndarray) -> np.ndarray:
+    return ((code * _SPREAD).view(np.uint64) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
 def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int, fall: int = FALL, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, their document bounds, and the rules: nonterminal ``terminals + r`` stands for the pair ``rules[r]``.
 
@@ -68,12 +74,12 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int, fall: int = FA
     symbols, floor = terminals, 0
     while len(seq) > 1 and floor != least:
         code = (seq[:-1] << 32) | seq[1:]
-        slot = ((code * _SPREAD).view(np.uint64) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        slot = _slots(code)
         slot[head[1:]] = 1 << SLOT_BITS  # no pair across documents
         count = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)
         count[-1] = 0
         floor = max(least, (floor or int(count.max())) // fall)
-        able = np.flatnonzero(count[slot] >= floor)
+        able = np.flatnonzero((count >= floor)[slot])  # a table of bytes stays in the cache, one of numbers doesn't
         # Pairs that share a slot: one of them stands for it in this round, the others wait.
         own = slot[able]
         stands = np.empty(len(count), dtype=np.int64)
@@ -93,11 +99,13 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int, fall: int = FA
         each = np.flatnonzero(used)
         got = stands[each]
         rules.append(np.column_stack((got >> 32, got & 0xFFFFFFFF)))
-        seq[at] = symbols + (np.cumsum(used) - 1)[own]
+        count[each] = np.arange(symbols, symbols + len(each))  # the counts are done with: now it has the new symbols
+        seq[at] = count[own]
         symbols += len(got)
         left = np.ones(len(seq), dtype=bool)
         left[at + 1] = False
-        seq, head = seq[left], head[left]
+        stay = np.flatnonzero(left)
+        seq, head = seq[stay], head[stay]
     if len(seq) > 1:
         seq, head, more = _finish(seq, head, symbols, least)
         rules += more
@@ -119,7 +127,12 @@ def _finish(seq: np.ndarray, head: np.ndarray, symbols: int, least: int) -> tupl
     ends = np.append(head[1:], True)  # no pair begins at a document's last symbol
     hole = np.zeros(n, dtype=bool)
     rules: list[np.ndarray] = []
-    able = np.arange(n)
+    # A turn resets the entries of these that it has set: most turns are about few places.
+    rank, odd, near = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=bool), np.zeros(n, dtype=bool)
+    able = np.flatnonzero(~ends)
+    # A pair isn't more frequent than its slot: where that has fewer than ``least`` places, nothing is sorted.
+    slot = _slots((seq[able] << 32) | seq[able + 1])
+    able = able[(np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot]]
     while True:
         able = able[~hole[able] & ~ends[able]]
         code = (seq[able] << 32) | seq[following[able]]
@@ -128,14 +141,12 @@ def _finish(seq: np.ndarray, head: np.ndarray, symbols: int, least: int) -> tupl
         able, of = able[some], of[some]
         if not len(able):
             break
-        rank = np.zeros(n + 1, dtype=np.int64)
         mine = (times[of] << 32) | (of + 1)
         rank[able] = mine
         # The more frequent of two that overlap; of a run of one pair every other place, from its start.
         first = rank[before[able]] < mine  # before[0] is the last place of rank, which is none
         at, own = able, of
         twin = rank[before[able]] == mine
-        odd = np.zeros(n + 1, dtype=bool)
         if twin.any():
             run = np.cumsum(~twin)
             start = np.flatnonzero(~twin)
@@ -144,6 +155,7 @@ def _finish(seq: np.ndarray, head: np.ndarray, symbols: int, least: int) -> tupl
             odd[able] = step % 2 == 1
         after = rank[following[able]]
         take = first & ((after <= mine) | odd[following[able]] & (after == mine))
+        rank[able], odd[able] = 0, False
         at, own = able[take], of[take]
         enough = np.bincount(own, minlength=len(kinds)) >= least
         good = enough[own]
@@ -176,7 +188,10 @@ def _finish(seq: np.ndarray, head: np.ndarray, symbols: int, least: int) -> tupl
         following[at] = to
         inside = to < n
         before[to[inside]] = at[inside]
-        able = np.unique(np.concatenate((able, at, before[at][before[at] >= 0])))
+        for some in (able, at, before[at][before[at] >= 0]):
+            near[some] = True
+        able = np.flatnonzero(near)
+        near[able] = False
     return seq[~hole], head[~hole], rules
 
 
@@ -234,7 +249,7 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
 
     def write(batches):
         enc = encoder_of(shared.value)
-        terminals = enc.max_token_value + 2
+        terminals = enc.max_token_value + 1
         part, number, have = TaskContext.get().partitionId(), 0, 0
         ids: list[pa.Array] = []
         parts: list[np.ndarray] = []
