@@ -64,3 +64,12 @@ def row_scores(vectors: np.ndarray, query: np.ndarray, metric: str = "COSINE") -
         return (1 + dot) / 2
     with np.errstate(invalid="ignore", divide="ignore"):
         return (1 + dot / np.sqrt((vectors * vectors).sum(1) * (query * query).sum())) / 2
+
+
+def rounded(x: np.ndarray, decimals: int) -> np.ndarray:
+    """Halves go away from zero, as in SQL; np.round takes them to even."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        y = x * 10.0**decimals
+        whole = np.trunc(y)
+        out = (whole + np.copysign(np.abs(y - whole) >= 0.5, y)) / 10.0**decimals
+    return np.where(np.isfinite(out), out, x)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scoring import METRICS, row_scores, score, scores
+from ..functions.scoring import METRICS, rounded, row_scores, score, scores
 from ..plans.filters import Expr, parse, to_column
 
 #: Bytes of query vectors that are broadcast at once; more queries go in blocks of that size.
@@ -70,8 +70,11 @@ def fitting(rows: DataFrame, dimension: int, vector: str = "vector") -> DataFram
     return rows.where((F.size(vector) == dimension) & ~F.exists(vector, lambda x: x.isNull()))
 
 
-def nearest(rows: DataFrame, query: Sequence[float], k: int = 10, metric: str = "COSINE", threshold: float = 0.0, rerank_floor: float = 0.0) -> DataFrame:
-    """id, segment_id, ordinal and score of the k best: scored in Arrow batches, of which each passes on its k best (and their ties)."""
+def nearest(rows: DataFrame, query: Sequence[float], k: int = 10, metric: str = "COSINE", threshold: float = 0.0, rerank_floor: float = 0.0, decimals: int | None = None) -> DataFrame:
+    """id, segment_id, ordinal and score of the k best: scored in Arrow batches, of which each passes on its k best (and their ties).
+
+    With ``decimals`` hits are ranked by the rounded score, so that scores alike to that digit go by id; the cut-offs are by the exact one.
+    """
     low, q = max(threshold, rerank_floor), np.asarray(query, dtype=float)
     shared = rows.sparkSession.sparkContext.broadcast(q)
     if metric not in METRICS:
@@ -82,6 +85,7 @@ def nearest(rows: DataFrame, query: Sequence[float], k: int = 10, metric: str =
         for b in batches:
             s = row_scores(b.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), len(q)), q, metric)
             ok = np.flatnonzero(s >= low if low > 0 else ~np.isnan(s))
+            s = s if decimals is None else rounded(s, decimals)
             if len(ok) > k:
                 ok = ok[s[ok] >= np.partition(s[ok], len(ok) - k)[len(ok) - k]]
             at = pa.array(ok)
@@ -91,8 +95,9 @@ def nearest(rows: DataFrame, query: Sequence[float], k: int = 10, metric: str =
     return top_k(hits, k)
 
 
-def top_k(hits: DataFrame, k: int) -> DataFrame:
-    """The k best of all segments."""
+def top_k(hits: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
+    """The k best of all segments, by the rounded score if ``decimals`` are given."""
+    hits = hits if decimals is None else hits.withColumn("score", F.round("score", decimals))
     return hits.orderBy(*best()).limit(k)
 
 
@@ -100,13 +105,13 @@ def top_k_per_segment(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(W.partitionBy("segment_id").orderBy(*best()))).where(F.col("rank") <= k)
 
 
-def two_phase(rows: DataFrame, query: Sequence[float], k: int, rerank_k: int, proxy: Column, metric: str = "COSINE") -> DataFrame:
+def two_phase(rows: DataFrame, query: Sequence[float], k: int, rerank_k: int, proxy: Column, metric: str = "COSINE", decimals: int | None = None) -> DataFrame:
     """The best rerank_k by a cheap score, of these the k best by the exact one."""
     pool = rows.withColumn("_proxy", proxy).orderBy(F.desc("_proxy"), "id", "segment_id", "ordinal").limit(max(rerank_k, k))
-    return top_k(scored(pool.drop("_proxy"), query, metric), k)
+    return top_k(scored(pool.drop("_proxy"), query, metric), k, decimals)
 
 
-def two_phase_whole(rows: DataFrame, query: Sequence[float], k: int, rerank_k: int, head: int, metric: str = "COSINE") -> DataFrame:
+def two_phase_whole(rows: DataFrame, query: Sequence[float], k: int, rerank_k: int, head: int, metric: str = "COSINE", decimals: int | None = None) -> DataFrame:
     """The k best by cosine, all of them: the first phase bounds each score by the first ``head`` dimensions and the lengths of the rest.
 
     The rerank_k rows of the highest bounds give the k-th score to reach; every row whose bound reaches it is scored, however many they are.
@@ -122,8 +127,8 @@ def two_phase_whole(rows: DataFrame, query: Sequence[float], k: int, rerank_k: i
     pool = bounded.orderBy(F.desc("_bound"), "id", "segment_id", "ordinal").limit(max(rerank_k, k))
     got = [r[0] for r in top_k(scored(pool, query, metric), k).select("score").collect()]
     if len(got) == k and k:
-        bounded = bounded.where(F.col("_bound") >= got[-1] - 1e-9)
-    return top_k(scored(bounded.drop("_bound"), query, metric), k)
+        bounded = bounded.where(F.col("_bound") >= got[-1] - 1e-9 - (0 if decimals is None else 10.0**-decimals))
+    return top_k(scored(bounded.drop("_bound"), query, metric), k, decimals)
 
 
 def enrich(hits: DataFrame, rows: DataFrame) -> DataFrame:

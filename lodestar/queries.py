@@ -23,6 +23,8 @@ from .plans import catalog
 from .plans.filters import from_postings, parse, ratio_bucket
 
 K = 10
+#: Digits of a score in the results; where SQL orders what it selects, it orders by the score of so many digits.
+DECIMALS = 6
 TUNED = {"eq": {"category": "A"}, "in": {"category": {"$in": ["A", "B"]}}, "and": {"category": "A", "region": "us"}, "or": {"$or": [{"category": "A"}, {"region": "eu"}]},
          "not": {"$not": {"category": "A"}}, "not_missing": {"$not": {"region": "us"}}, "mixed": {"$not": {"$or": [{"category": "B"}, {"region": "eu"}]}, "label": {"$in": ["0", "2", "3", "5", "6", "9"]}}}
 _SQL_WHERE = {
@@ -90,7 +92,7 @@ def _knn(where: dict | None = None, metric: str = "COSINE", deletes: tuple[bool,
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = collection(spark, d, again)
         keep = accepted(rows, where, persisted(rows) if deletes[0] else None, staged(rows) if deletes[1] else None)
-        return _out(search.nearest(keep, query_vector(spark, d), K, metric, **more))
+        return _out(search.nearest(keep, query_vector(spark, d), K, metric, decimals=DECIMALS, **more))
 
     return run
 
@@ -148,13 +150,13 @@ def knn_enrich(spark: SparkSession, d: str) -> DataFrame:
 @_def(f"{BASE}, pool AS (SELECT * FROM (SELECT *, list_inner_product(vector[1:16], qv[1:16]) AS proxy FROM v, one) ORDER BY proxy DESC, id, segment_id, ordinal LIMIT 50) SELECT {_OUT} FROM (SELECT *, {SCORE['COSINE']} AS score FROM pool) {_ORDER} LIMIT {K}")
 def knn_two_phase(spark: SparkSession, d: str) -> DataFrame:
     q = query_vector(spark, d)
-    return _out(search.two_phase(collection(spark, d), q, K, 50, score(F.slice("vector", 1, 16), q[:16], "DOT_PRODUCT")))
+    return _out(search.two_phase(collection(spark, d), q, K, 50, score(F.slice("vector", 1, 16), q[:16], "DOT_PRODUCT"), decimals=DECIMALS))
 
 
 @_def()
 def knn_two_phase_whole(spark: SparkSession, d: str) -> DataFrame:
     """Two phases whose pool is as large as a bound on the scores needs it; knn_two_phase keeps the pool of its SQL."""
-    return _out(search.two_phase_whole(collection(spark, d), query_vector(spark, d), K, 50, 16))
+    return _out(search.two_phase_whole(collection(spark, d), query_vector(spark, d), K, 50, 16, decimals=DECIMALS))
 
 
 @_def(f"{BASE} SELECT {_OUT} FROM (SELECT *, 0.5::DOUBLE AS score FROM v) WHERE false")
